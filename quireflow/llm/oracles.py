@@ -1,3 +1,40 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+# words as the contracts define them
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP1 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS rn FROM win) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM later, unnest(range(i, i + 20)) AS t(p)),
+per AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
+              ELSE array_to_string(list_filter(list_transform(w, lambda x, k: CASE WHEN list_contains(ps, k) THEN NULL ELSE x END), lambda x: x IS NOT NULL), ' ') END) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
+_ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(kind: str, order: int, rx: str, group: int, least: int) -> str:
+    return f"SELECT doc_id, '{kind}' AS kind, {order} AS o, {least} AS least, regexp_extract_all(text, '{rx}', 0) AS m, regexp_extract_all(text, '{rx}', {group}) AS g, string_split_regex(text, '{rx}') AS p FROM d"
+
+
+OP4 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k AS ({_matches("assign", 1, _ASSIGN, 2, 6)} UNION ALL {_matches("access", 2, "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_matches("hex", 3, "[0-9a-f]+", 0, 24)}),
+u AS (SELECT doc_id, kind, o, least, i, len(p[i]) AS gap, len(m[i]) AS n, len(g[i]) AS part FROM k, unnest(range(1, len(m) + 1)) AS t(i)),
+s AS (SELECT *, sum(gap + n) OVER (PARTITION BY doc_id, kind ORDER BY i) AS fin FROM u),
+f AS (SELECT doc_id, kind, o, CAST(fin - n AS BIGINT) AS st, CAST(fin AS BIGINT) AS fin FROM s WHERE part >= least),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg(kind || ':' || st || ':' || fin, ',' ORDER BY st, o) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op4_secret_scans": OP4}

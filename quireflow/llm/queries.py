@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import packing, sharding, substring_dedup
+from quireflow.llm import language_id, packing, secrets, sharding, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,8 +38,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secrets")
+    kinds = F.transform(spans, lambda s: s["kind"])
+    count = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.RULES)]
+    joined = secrets.joined_spans(spans)
+    return out.select("doc_id", *count, F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held = language_id.fold(4, 2)
+    model = language_id.fit(docs.where(~held))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_langs")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_secret_scans, op7_language_id, op10_packing)}

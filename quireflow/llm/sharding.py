@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The most source groups and target blocks: the matrix has no more than their product of cells, whatever the data.
-GROUPS, BLOCKS = 1024, 1024
+GROUPS, BLOCKS = 1024, 4096
 
 
 def block_sizes(rows: int, shards: int, block_rows: int) -> list[tuple[int, int, int]]:
@@ -43,13 +43,15 @@ def communication_matrix(sources: list[int], targets: list[int], seed: int) -> n
 
 
 def _deal(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """``n`` draws without replacement from an urn of ``left`` balls a colour, as one binary split a colour."""
+    """``n`` draws without replacement from an urn of ``left`` balls a colour."""
+    if left.sum() < 1_000_000_000:
+        return rng.multivariate_hypergeometric(left, n, method="marginals")
     got, total = np.zeros(len(left), np.int64), int(left.sum())
     for j, c in enumerate(left.tolist()):
         if n == 0:
             break
         rest = total - c
-        # numpy's law takes at most 1e9 balls a side; larger urns are drawn from the normal limit, held to the possible range
+        # one binary split a colour; numpy's law takes at most 1e9 balls a side, larger urns are drawn from the normal limit, held to the possible range
         if max(c, rest) < 1_000_000_000:
             x = int(rng.hypergeometric(c, rest, n)) if rest else n
         else:
@@ -60,7 +62,7 @@ def _deal(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
     return got
 
 
-def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 17, block_rows: int = 1 << 16) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 17, block_rows: int = 1 << 12) -> DataFrame:
     """Every row of ``df`` with ``shard`` and ``slot``: a uniformly random deal with exact sizes.
 
     Shard sizes differ by one row at most; slots of a shard run from 0 without
