@@ -14,21 +14,21 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Alternates two rewirings until nothing changes: each node hangs its larger
     neighbours under the smallest node it sees, then its smaller ones. The
     rounds grow with the logarithm of the longest path. A star's centre is
-    only met in joins (which adaptive execution splits) and in partial
-    aggregates, never as one group. Self-loops and null ends are ignored.
+    only met in partial aggregates and in joins with written tables, which
+    adaptive execution can split, never as one group. Self-loops and null ends are ignored.
     """
     flat = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = scratch.keep(flat.distinct())
     mark = _mark(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.keep(large)
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        root = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(root, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
         after = scratch.keep(small)
-        scratch.drop(now, large)
+        scratch.drop(now, large, least, root)
         now, last, mark = after, mark, _mark(after)
         if mark == last:
             break

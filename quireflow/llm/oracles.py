@@ -37,4 +37,19 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN a USING (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op4_secret_scans": OP4}
+OP6 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM d, unnest(range(1, len(w) - 2)) AS t(i)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3)),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM meet JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b WHERE 100 * x >= 80 * (p.n + q.n - x)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+comp AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(c, d.doc_id)) AS kept
+FROM d LEFT JOIN sz USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op4_secret_scans": OP4, "op6_minhash_dedup": OP6}
