@@ -161,7 +161,8 @@ def remove_repeated_spans(docs: DataFrame, k: int = 20, m: int = 6) -> DataFrame
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = text.where("doc_id IS NOT NULL")
     pieces = known.mapInArrow(_pieces(k, m), "a long, doc_id long, start int, n short, s1 long, s2 long")
-    again = pieces.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
+    # counts are written before they are joined: only a join of two exchanges can be split at a hot key
+    again = scratch.keep(pieces.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"))
     shared = scratch.keep(pieces.join(again, "a", "left_semi"))
     first = shared.groupBy("a", "s1", "s2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("n").alias("n"))
     first = scratch.keep(first)
@@ -170,13 +171,13 @@ def remove_repeated_spans(docs: DataFrame, k: int = 20, m: int = 6) -> DataFrame
         .where("doc_id <> f.doc_id OR start <> f.start")
         .select("doc_id", "start", (F.col("n").cast("int") + F.lit(k - 1)).alias("length"), F.col("s1").alias("h"))
     )
-    forks = first.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
+    forks = scratch.keep(first.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"))
     open_at = first.join(forks, "a", "left_semi").select(F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start"), "n")
     open_at = open_at.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("pieces"))
     edges = scratch.keep(known.join(open_at, "doc_id").select("doc_id", "text", "pieces").mapInArrow(_edges(k), "w1 long, w2 long, doc_id long, start int"))
-    origin = edges.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    origin = scratch.keep(edges.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1").select("w1", "w2", "f"))
     later = later.unionByName(
-        edges.join(origin.select("w1", "w2", "f"), ["w1", "w2"]).where("doc_id <> f.doc_id OR start <> f.start").select("doc_id", "start", F.lit(k).alias("length"), F.col("w1").alias("h"))
+        edges.join(origin, ["w1", "w2"]).where("doc_id <> f.doc_id OR start <> f.start").select("doc_id", "start", F.lit(k).alias("length"), F.col("w1").alias("h"))
     )
     spans = later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "h")).alias("spans"))
     return text.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, kept_text string, n_words long, n_removed long")
