@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import language_id, minhash_dedup, packing, secrets, sharding, substring_dedup
+from quireflow.llm import language_id, minhash_dedup, packing, secrets, sharding, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,8 +60,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_langs")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held = language_id.fold(5, 0)
+    models = toxicity.fit(docs, labels.where(~held))
+    out = toxicity.score(docs, models)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_secret_scans, op6_minhash_dedup, op7_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_secret_scans, op6_minhash_dedup, op7_language_id, op9_toxicity, op10_packing)}

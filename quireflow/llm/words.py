@@ -68,9 +68,13 @@ def slices(column: pa.Array, limit: int = 4 * _SLICE) -> Iterator[tuple[int, int
         a = min(b, n)
 
 
-def bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each document its first word (n + 1)."""
-    word = ~_SPACE[data]
+#: Every ASCII byte but letters and digits, for text whose punctuation should not stick to words.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def bounds(data: np.ndarray, offs: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each document its first word (n + 1); ``between`` marks the bytes between words."""
+    word = ~between[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offs] = True
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
