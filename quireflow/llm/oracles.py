@@ -52,4 +52,15 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, c
 FROM d LEFT JOIN sz USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op4_secret_scans": OP4, "op6_minhash_dedup": OP6}
+OP5 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+comp AS (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a),
+deg AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(c, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(c, v.vec_id)) AS kept
+FROM v LEFT JOIN comp USING (vec_id) LEFT JOIN deg USING (vec_id)
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op4_secret_scans": OP4, "op5_embedding_dedup": OP5, "op6_minhash_dedup": OP6}

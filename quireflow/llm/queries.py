@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import language_id, minhash_dedup, packing, secrets, sharding, substring_dedup, toxicity
+from quireflow.llm import embedding_dedup, language_id, minhash_dedup, packing, secrets, sharding, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *count, F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embedding_dedup.link_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.95)
+    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash_dedup.components(_read(spark, sf_dir, "documents"), width=4, percent=80)
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -72,4 +77,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_secret_scans, op6_minhash_dedup, op7_language_id, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_secret_scans, op5_embedding_dedup, op6_minhash_dedup, op7_language_id, op9_toxicity, op10_packing)}
