@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
 from quireflow.llm import words as W
 
@@ -121,31 +122,32 @@ def fit(docs: DataFrame, lang: str = "lang") -> Mixture:
 
 
 def predict(docs: DataFrame, model: Mixture) -> DataFrame:
-    """doc_id, lang_pred, score, n_langs for each row, from the text alone.
+    """All columns of ``docs`` and lang_pred, score, n_langs, from the text alone; columns so named are replaced.
 
     ``und`` with score 0 where the text is null or holds no letter, or where
     nothing was learned; texts of under three bytes get the commonest
     language and its share. Repeated rows and null ids are rows like others.
     """
+    docs = docs.drop("lang_pred", "score", "n_langs")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept, text = docs.columns, F.col("text").cast("string")
 
     def run(batches):
         mixture = shared.value
         for batch in batches:
-            for lo, hi in W.slices(batch.column(1), 1 << 20):
+            column, has = batch.column(len(kept)), batch.column(len(kept) + 1)
+            for lo, hi in W.slices(column, 1 << 20):
                 for a in range(lo, hi, 256):
                     b = min(hi, a + 256)
-                    best, share, size = mixture.infer(*W.utf8(batch.column(1).slice(a, b - a)))
-                    letters = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool) & (len(mixture.names) > 0)
+                    best, share, size = mixture.infer(*W.utf8(column.slice(a, b - a)))
+                    letters = has.slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool) & (len(mixture.names) > 0)
                     names = [mixture.names[i] if ok else "und" for i, ok in zip(best.tolist(), letters.tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(np.where(letters, share, 0.0).astype(float)), pa.array(np.where(letters, size, 0).astype(np.int32))],
-                        names=["doc_id", "lang_pred", "score", "n_langs"],
-                    )
-
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, n_langs int")
+                    new = [pa.array(names, pa.string()), pa.array(np.where(letters, share, 0.0).astype(float)), pa.array(np.where(letters, size, 0).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[: len(kept)]], *new], names=[*kept, "lang_pred", "score", "n_langs"])
+
+    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("n_langs", IntegerType())
+    rows = docs.select("*", text.alias("_q_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_q_letters"))
+    return rows.mapInArrow(run, schema)
 
 
 def fold(modulus: int, held: int):

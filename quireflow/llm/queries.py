@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import embedding_dedup, language_id, minhash_dedup, packing, secrets, sharding, substring_dedup, toxicity
+from quireflow.llm import decontamination, embedding_dedup, language_id, minhash_dedup, packing, preference, secrets, sharding, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _read(spark, sf_dir, "conversations")
+    out = preference.format_pairs(conversations, preference.neighbour_pairs(conversations))
+    spans = [F.array_join(F.transform(m, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(m) for m in ("chosen_mask", "rejected_mask")]
+    return out.select("chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected", *spans)
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secrets")
@@ -61,10 +68,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held = language_id.fold(4, 2)
     model = language_id.fit(docs.where(~held))
-    out = language_id.predict(docs, model)
+    out = language_id.predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_langs")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.mark_contaminated(docs, _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "contaminated", "item_ids")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     held = language_id.fold(5, 0)
@@ -77,4 +90,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_secret_scans, op5_embedding_dedup, op6_minhash_dedup, op7_language_id, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_chat_formatting, op4_secret_scans, op5_embedding_dedup, op6_minhash_dedup, op7_language_id, op8_decontamination, op9_toxicity, op10_packing)}

@@ -1,3 +1,56 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
 
-STAGES: list = []
+Each works on whatever its predecessor kept; all but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quireflow.llm import decontamination, language_id, minhash_dedup, packing, secrets
+
+#: A document is rejected if no language makes up at least this share of it.
+LEAST_SHARE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in some learned language; texts that are null or hold no letter, and even mixtures of many languages, go."""
+    model = language_id.fit(docs.where(~language_id.fold(4, 2)))
+    told = language_id.predict(docs, model)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each near-duplicate group (5-word shingles, similarity 0.8); rows without an id stay."""
+    found = minhash_dedup.components(docs, width=5, percent=80)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_q_id")).distinct()
+    kept = docs.join(first, docs["doc_id"] == first["_q_id"], "left_semi")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item's template with consistent slots."""
+    marked = decontamination.mark_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return marked.where("NOT contaminated").select(*docs.columns)
+
+
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the text by a mark and brings n_chars up to date; every row stays."""
+    found = secrets.find_secrets(docs)
+    text = secrets.redact(F.col("text"), F.col("secrets"))
+    found = found.withColumn("text", F.when(F.size("secrets") > 0, text).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of every document left."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1)
+
+
+STAGES = [("language ID", language), ("MinHash near-dedup", near_copies), ("benchmark decontamination", benchmark_leaks), ("secret scans", secret_spans), ("packing", pack)]
