@@ -26,7 +26,8 @@ from quireflow.llm import words as W
 from quireflow.llm.graph import connected_components
 from quireflow.llm.scratch import Scratch
 
-BLOCK = 64
+#: Classes of a block when a group is first compared, and when what is left of a large group is.
+BLOCK, WIDE = 64, 256
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,11 +229,12 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80, collections:
     member = scratch.keep(sets.join(placed, "rep"))
     links = scratch.keep(_links(member.select(F.col("grp").alias("k1"), F.col("blk").alias("k2"), "rep", "shingles"), percent))
 
+    # a group of one block is settled by it; links of larger groups are still to be joined up
+    whole = placed.where(F.col("grp_n") <= BLOCK).select("rep")
+    found = links.join(whole, F.col("a") == F.col("rep"), "left_semi").select(F.col("a").alias("node"), F.col("b").alias("component"))
     large = member.where(F.col("grp_n") > BLOCK)
     if not large.isEmpty():
-        links = _across(large, links, percent, scratch)
-
-    found = connected_components(links, scratch)
+        found = found.union(_across(large, links.join(whole, F.col("a") == F.col("rep"), "left_anti"), percent, scratch))
     node = classes.select("d1", "d2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("cls"))
     # a doc_id on several rows may be in several classes: those are then one component
     own = usable.select("doc_id", "d1", "d2").join(node, ["d1", "d2"])
@@ -246,15 +248,15 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80, collections:
 
 
 def _across(large: DataFrame, links: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Adds the links between blocks of large groups, comparing only what is not yet in one component."""
+    """(node, component) of large groups, comparing across blocks only what is not yet in one component."""
     for last in (False, True):
-        found = connected_components(links, scratch)
+        found = scratch.keep(connected_components(links, scratch))
         state = large.join(found, F.col("rep") == F.col("node"), "left").select("grp", "rep", F.coalesce("component", "rep").alias("comp"), "shingles")
         state = scratch.keep(state)
         parts = scratch.keep(state.groupBy("grp", "comp").agg(F.count("*").alias("n")))
         split = scratch.keep(parts.groupBy("grp").agg(F.count("*").alias("comps"), F.sum("n").alias("n")).where("comps > 1"))
         if split.isEmpty():
-            return links
+            return found
         if not last:
             # one member of each component, again in blocks: usually settles almost all
             few = state.where("rep = comp").join(split, "grp").withColumn("k2", F.pmod(F.xxhash64("rep"), F.ceil(F.col("comps") / BLOCK)))
@@ -262,13 +264,13 @@ def _across(large: DataFrame, links: DataFrame, percent: int, scratch: Scratch)
             continue
         # what is left: blocks of one component each, or of many small ones; each two blocks meet unless both are of one component
         tagged = state.join(split.select("grp"), "grp").join(parts, ["grp", "comp"])
-        mixed = tagged.where(F.col("n") < BLOCK).groupBy("grp").agg(F.count("*").alias("rest"))
-        tagged = tagged.join(mixed, "grp", "left").withColumn("pure", F.col("n") >= BLOCK)
-        slot = F.when(F.col("pure"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("rest") / BLOCK)))
+        mixed = tagged.where(F.col("n") < WIDE).groupBy("grp").agg(F.count("*").alias("rest"))
+        tagged = tagged.join(mixed, "grp", "left").withColumn("pure", F.col("n") >= WIDE)
+        slot = F.when(F.col("pure"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / WIDE))).otherwise(F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("rest") / WIDE)))
         tagged = scratch.keep(tagged.select("grp", "rep", "shingles", F.when(F.col("pure"), F.col("comp")).alias("owner"), F.xxhash64("pure", F.when(F.col("pure"), F.col("comp")), slot).alias("blk")))
         blocks = tagged.select("grp", "blk", "owner").distinct()
         other = blocks.select("grp", F.col("blk").alias("blk2"), F.col("owner").alias("owner2"))
         meet = blocks.join(other, "grp").where("blk <= blk2 AND (owner IS NULL OR owner2 IS NULL OR owner <> owner2)")
         meet = meet.select("grp", F.xxhash64("grp", "blk", "blk2").alias("k2"), F.explode(F.array_distinct(F.array("blk", "blk2"))).alias("blk"))
         links = links.union(_links(tagged.join(meet, ["grp", "blk"]).select(F.col("grp").alias("k1"), "k2", "rep", "shingles"), percent))
-    return scratch.keep(links)
+    return connected_components(links, scratch)
