@@ -184,7 +184,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
 
     # classes of equal vectors, named by their smallest id
     cid = F.when(sound & (F.size("embedding") == dim), F.xxhash64(F.transform("embedding", lambda v: v + 0.0), F.lit(1)))
-    named = scratch.keep(rows.withColumn("cid", cid))
+    named = rows.withColumn("cid", cid)
     members = named.where("cid IS NOT NULL").select("cid", "vec_id").distinct()
     single = named.where("cid IS NOT NULL").groupBy("cid").agg(F.first("embedding").alias("embedding"))
     classes = scratch.keep(single.join(members.groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "cid"))
@@ -219,7 +219,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     shared_ids = members.groupBy("vec_id").agg(F.count("*").alias("c")).where("c > 1").select("vec_id")
     edges = edges.union(members.join(shared_ids, "vec_id").join(classes.select("cid", "rep"), "cid").select("vec_id", "rep"))
-    component = scratch.keep(connected_components(edges, scratch))
+    component = connected_components(edges, scratch)
     counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
     per = classes.select("cid", "rep", "copies").join(counts, "cid", "left").join(component, F.col("rep") == F.col("node"), "left")
     per = scratch.keep(per.select("cid", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c")))

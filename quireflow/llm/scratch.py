@@ -37,7 +37,8 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.mode("overwrite").parquet(path)
+        # a few files a core are enough for small tables too: every file costs the store several calls
+        df.coalesce(4 * self.spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
