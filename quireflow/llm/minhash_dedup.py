@@ -215,7 +215,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80, collections:
     keyed = scratch.keep(agreeing.select("rep", F.explode(pairs).alias("key")))
     heads = scratch.keep(keyed.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b"))
     meets = keyed.join(heads, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    group = scratch.keep(connected_components(meets, scratch))
+    group = connected_components(meets, scratch)
 
     # blocks: groups of up to BLOCK classes whole, larger ones by hash
     sizes = scratch.keep(group.groupBy("component").agg(F.count("*").alias("n")))
@@ -250,7 +250,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80, collections:
 def _across(large: DataFrame, links: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(node, component) of large groups, comparing across blocks only what is not yet in one component."""
     for last in (False, True):
-        found = scratch.keep(connected_components(links, scratch))
+        found = connected_components(links, scratch)
         state = large.join(found, F.col("rep") == F.col("node"), "left").select("grp", "rep", F.coalesce("component", "rep").alias("comp"), "shingles")
         state = scratch.keep(state)
         parts = scratch.keep(state.groupBy("grp", "comp").agg(F.count("*").alias("n")))
