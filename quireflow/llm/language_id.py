@@ -23,7 +23,10 @@ MOST_LANGUAGES = 500
 
 
 def _trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bin) of each byte trigram, ASCII letters folded."""
+    """(document, bin) of the three bytes from the start of each character, ASCII letters folded.
+
+    One a character, so that languages with accents don't weigh more.
+    """
     if len(data) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = W._LOWER[data].astype(np.uint32)
@@ -32,7 +35,8 @@ def _trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = np.maximum(np.diff(offs) - 2, 0)
     doc = np.repeat(np.arange(len(n)), n)
     at = np.repeat(offs[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-    return doc, bins[at].astype(np.int64)
+    starts = (data[at] & 0xC0) != 0x80
+    return doc[starts], bins[at[starts]].astype(np.int64)
 
 
 def _count(batches):
