@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from quireflow.functions.codes import BLOCK_STATE, CHUNK_CRC, CHUNK_HEADER, OP_CODE, PROVIDER_CODE, RECORD_SIZE
 from quireflow.functions.hashing import crc32c_of, name_hash_of
@@ -57,6 +57,10 @@ class IndexHeader:
 
     SIZE = 128
 
+    def refreshed(self, size: int, inode: int, mtime_ns: int) -> IndexHeader:
+        """The header with the archive's present stat, for an index that is valid but stale."""
+        return replace(self, source_file_size=size, source_inode=inode, source_mtime_ns=mtime_ns)
+
     def encode(self) -> bytes:
         return _sealed(_INDEX.pack(INDEX_MAGIC, INDEX_VERSION, *self.__dict__.values(), 0), 120, _INDEX)
 

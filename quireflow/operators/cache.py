@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ class PageCache:
         if key in self.held:
             self.hits += 1
             self.held.move_to_end(key)
-            return self.held[key]
+            return self.held[key][0]
         self.misses += 1
         return None
 
@@ -54,6 +55,30 @@ def fill_run(cache: PageCache, entry, target: int, total: int, ahead: int) -> li
     return run
 
 
+def read_cached(cache: PageCache, entry, offset: int, length: int, size: int, page_size: int, ahead: int, decode: Callable[[int, int], bytes], on_miss: Callable[[], None] = lambda: None) -> bytes:
+    """Bytes of an entry through the cache; ``on_miss`` runs before the source is touched and may refuse by raising.
+
+    One miss decodes its whole run at once. Bytes are handed on from what was
+    decoded, so a cache of any size will do.
+    """
+    total, out, fresh = -(-size // page_size), [], {}
+    for page in range(offset // page_size, -(-(offset + length) // page_size) if length else 0):
+        data = fresh.pop(page, None)
+        if data is None:
+            data = cache.get((entry, page))
+        if data is None:
+            on_miss()
+            run = fill_run(cache, entry, page, total, ahead)
+            raw = decode(page * page_size, min(size, (run[-1] + 1) * page_size) - page * page_size)
+            fresh = {p: raw[(p - page) * page_size : (p - page + 1) * page_size] for p in run}
+            for p, piece in fresh.items():
+                cache.insert((entry, p), piece)
+            data = fresh.pop(page)
+        start = page * page_size
+        out.append(data[max(0, offset - start) : offset + length - start])
+    return b"".join(out)
+
+
 def simulate(accesses: DataFrame, by: str, order: str, entry: str, page: str, total: int, page_bytes: int, cache_bytes: int, ahead: int = 0) -> DataFrame:
     """hits, misses, resident and resident_bytes of each session's accesses replayed in order.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quireflow.functions import codes, geometry
-from quireflow.operators import cache, journal, lookup, overlay, pages, policy
+from quireflow.operators import cache, journal, layout, lookup, overlay, pages, policy
 
 PS = 4096
 #: Pages a session may hold before it spills, in the spill query.
@@ -327,3 +327,35 @@ def session_replay(spark, sf_dir):
     base = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("archive_id"), F.lit("e").alias("name"), F.encode("text", "UTF-8").alias("content"))
     out = session.replay(ops, base, page_size=64, limit=16 * 64)
     return out.groupBy("archive_id", "what").agg(F.count("*").alias("n"), F.max("logical_size").alias("logical_size"))
+
+
+@_query("""WITH e AS (SELECT source, CAST(doc_id AS VARCHAR) AS name, doc_id, octet_length(encode(text)) AS n FROM documents),
+r AS (SELECT source, name, doc_id, n, row_number() OVER (PARTITION BY source ORDER BY md5(name), name) - 1 AS entry_idx,
+  coalesce(sum(length(name)) OVER (PARTITION BY source ORDER BY md5(name), name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS name_offset FROM e)
+SELECT source, name, entry_idx, CAST(name_offset AS BIGINT) AS name_offset, 128 + 96 * entry_idx AS record_offset FROM r""")
+def index_layout(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("name"))
+    return layout.index_layout(rows, ["source"], F.md5("name")).select("source", "name", "entry_idx", "name_offset", "record_offset")
+
+
+_EFF = """eff AS (SELECT source, CAST(doc_id AS VARCHAR) AS name, doc_id, doc_id * 1000 AS old_offset, 1000000 AS file_size, octet_length(encode(text)) AS n, doc_id % 4 = 0 AS ch FROM documents WHERE doc_id % 7 <> 0),
+b AS (SELECT *, CASE WHEN ch THEN 30 + length(name) + n ELSE 0 END AS app FROM eff)"""
+
+
+@_query(f"""WITH {_EFF} SELECT source, name, ch AS changed, CAST(app AS BIGINT) AS appended,
+CAST(CASE WHEN ch THEN 1000000 + coalesce(sum(app) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE old_offset END AS BIGINT) AS local_header_offset FROM b""")
+def commit_layout(spark, sf_dir):
+    out = layout.commit_layout(_effective(spark, sf_dir), ["source"], "doc_id", incremental=True)
+    return out.select("source", "name", "changed", "appended", "local_header_offset")
+
+
+@_query(f"""WITH {_EFF} SELECT source, CAST(sum(app) AS BIGINT) AS body_bytes, CAST(sum(46 + length(name)) + 22 AS BIGINT) AS directory_bytes, count(*) FILTER (ch) AS changed FROM b GROUP BY source""")
+def commit_size(spark, sf_dir):
+    return layout.commit_size(layout.commit_layout(_effective(spark, sf_dir), ["source"], "doc_id", incremental=True), ["source"])
+
+
+def _effective(spark, sf_dir) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").where("doc_id % 7 <> 0")
+    return docs.select(
+        "source", "doc_id", F.col("doc_id").cast("string").alias("name"), F.lit("Kept").alias("origin"), (F.col("doc_id") % 4 == 0).alias("modified"), F.octet_length("text").cast("long").alias("compressed_size"), F.lit(1_000_000).cast("long").alias("file_size"), (F.col("doc_id") * 1000).alias("old_offset")
+    )

@@ -9,11 +9,12 @@ the directory and, only if the column is asked for, single payloads.
 from __future__ import annotations
 
 import os
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 
 from quireflow import schemas
 from quireflow.functions.codecs import BadFormat, Index, Intent, walk_journal
@@ -177,8 +178,53 @@ class _ZipReader(DataSourceReader):
                     yield tuple(row.get(c.split()[0]) for c in schemas.ENTRIES.split(", "))
 
 
+class _Written(WriterCommitMessage):
+    def __init__(self, files: list[tuple[str, str]]) -> None:
+        self.files = files
+
+
+class _ZipWriter(DataSourceWriter):
+    """A task writes its archives under temporary names; the commit renames all of them."""
+
+    def __init__(self, options: dict, schema) -> None:
+        self.root, self.names = options["path"], schema.names
+
+    def write(self, iterator):
+        at = {n: i for i, n in enumerate(self.names)}
+        groups: dict[str, list] = {}
+        for row in iterator:
+            groups.setdefault(row[at["archive_id"]], []).append(row)
+        os.makedirs(self.root, exist_ok=True)
+        files = []
+        for archive, rows in groups.items():
+            rows.sort(key=lambda r: r[at["cd_ordinal"]] if "cd_ordinal" in at else 0)
+            image = archive_image([(r[at["name"]], r[at["method_code"]] if "method_code" in at else 8, bytes(r[at["content"]] or b"")) for r in rows])
+            final = os.path.join(self.root, os.path.basename(archive))
+            tmp = f"{final}.{uuid.uuid4().hex}.tmp"
+            with open(tmp, "wb") as f:
+                f.write(image)
+                f.flush()
+                os.fsync(f.fileno())
+            files.append((tmp, final))
+        return _Written(files)
+
+    def commit(self, messages) -> None:
+        for m in messages:
+            for tmp, final in m.files if m else ():
+                os.replace(tmp, final)
+
+    def abort(self, messages) -> None:
+        for m in messages:
+            for tmp, _ in m.files if m else ():
+                if os.path.exists(tmp):
+                    os.remove(tmp)
+
+
 class ZipEntries(DataSource):
-    """``spark.read.format("zipentries").load(path)``: path may list files and folders, by commas; option ``payload`` false leaves the bytes out."""
+    """``spark.read.format("zipentries").load(path)``: path may list files and folders, by commas; option ``payload`` false leaves the bytes out.
+
+    ``write_archives()`` writes through it: one file an archive_id, each in one task.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -190,6 +236,9 @@ class ZipEntries(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _ZipReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _ZipWriter(self.options, schema)
+
 
 def register(spark: SparkSession) -> None:
     """Makes ``zipentries`` known to the session, with filters on the name pushed to it."""
@@ -202,3 +251,17 @@ def with_content(entries: DataFrame) -> DataFrame:
     from quireflow.functions.deflate import decode
 
     return entries.withColumn("content", decode(F.col("method_code"), F.col("payload"), F.col("uncompressed_size")))
+
+
+def archive_image(entries: list[tuple[str, int, bytes]]) -> bytes:
+    """An archive of (name, method, content): STORE and DEFLATE are written, other methods as DEFLATE."""
+    out = Z.Writer()
+    for name, method, content in entries:
+        out.add(Z.NewEntry(name.encode(), method if method in (0, 8) else 8, content))
+    return out.finish()
+
+
+def write_archives(entries: DataFrame, path: str) -> None:
+    """Writes (archive_id, name, content; optional method_code and cd_ordinal) as one ZIP file an archive_id below ``path``."""
+    register(entries.sparkSession)
+    entries.repartition("archive_id").write.format("zipentries").mode("append").save(path)

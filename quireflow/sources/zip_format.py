@@ -208,5 +208,11 @@ class Writer:
         return bytes(self.body) + cd + _EOCD.pack(b"PK\5\6", 0, 0, len(self.records), len(self.records), len(cd), at, 0)
 
 
+def appended_directory(tail: bytes, base: int) -> bytes:
+    """The directory block of bytes appended at ``base``, by the end record at their own end."""
+    *_, size, offset, _ = _EOCD.unpack_from(tail, len(tail) - _EOCD.size)
+    return tail[offset - base : offset - base + size]
+
+
 def renamed(entry: Entry, name: bytes) -> Entry:
     return replace(entry, name_bytes=name)

@@ -208,3 +208,34 @@ def test_journal_stream(spark, tmp_path):
         q.awaitTermination(120)
     got = sorted((r.entry, r.page_index, bytes(r.data), r.commit_sequence) for r in spark.read.parquet(out).collect())
     assert got == [("a", 0, b"y", 2), ("a", 1, b"z", 3)]
+
+
+def test_write_archives(spark, tmp_path):
+    import zipfile
+
+    rows = [("one.zip", "a", 0, b"stored", 1), ("one.zip", "b", 8, b"x" * 1000, 0), ("two.zip", "c", 8, None, 0)]
+    df = spark.createDataFrame(rows, "archive_id string, name string, method_code int, content binary, cd_ordinal int")
+    archives.write_archives(df, str(tmp_path / "out"))
+    assert sorted(os.listdir(tmp_path / "out")) == ["one.zip", "two.zip"]
+    with zipfile.ZipFile(tmp_path / "out" / "one.zip") as z:
+        assert z.testzip() is None and z.namelist() == ["b", "a"] and z.read("a") == b"stored" and z.getinfo("b").compress_size < 100
+    back = archives.with_content(archives.read_entries(spark, str(tmp_path / "out" / "*.zip")))
+    assert {r.name: bytes(r.content) for r in back.collect()} == {"a": b"stored", "b": b"x" * 1000, "c": b""}
+
+
+def test_layouts_match_what_is_written(spark):
+    from quireflow.operators import layout
+    from quireflow.sources import zip_format as Z
+
+    content = {"b": b"1" * 100, "a": b"22", "ü": b"333"}
+    data = archives.archive_image([(n, 0, c) for n, c in content.items()])
+    rows = [("z", n, "Kept", len(c), False, i) for i, (n, c) in enumerate(content.items())]
+    df = spark.createDataFrame(rows, "archive string, name string, origin string, compressed_size long, modified boolean, i int")
+    full = layout.commit_layout(df, ["archive"], "i")
+    assert {r.name: r.local_header_offset for r in full.collect()} == {e.name: e.local_header_offset for e in Z.read_directory(data).entries}
+    size = layout.commit_size(full, ["archive"]).first()
+    assert size.body_bytes + size.directory_bytes == len(data)
+    index = C.Index(mount.build_index(data, Z.read_directory(data), mount.Stat(len(data), 0, 0)))
+    got = layout.index_layout(df.select("archive", "name"), ["archive"], hashing.name_hash("name"))
+    assert {r.entry_idx: (r.name, r.name_offset) for r in got.collect()} == {i: (index.name(e), e.name_offset) for i in range(3) if (e := index.entry(i))}
+    assert layout.index_size(got, ["archive"]).first().advisory_offset == index.header.advisory_offset

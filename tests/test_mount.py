@@ -257,3 +257,32 @@ def test_written_limits():
         w.finish()
     with pytest.raises(Z.ZipError, match="TooLarge"):
         Z.Writer(1 << 32).add(Z.NewEntry(b"a", 0, b""))
+
+
+def test_memory_mount():
+    from quireflow.plans.memory import MemoryMount
+
+    big = os.urandom(20_000)
+    data = make_zip([("a", b"hello"), ("big", big)])
+    m = MemoryMount(data, page_size=1024, read_ahead=8)
+    assert m.rebuilt and not MemoryMount(data, m.index_bytes).rebuilt and MemoryMount(data, b"junk").rebuilt
+    asked = []
+    assert m.read("big", 0, 1, lambda: asked.append(1)) == big[:1]
+    assert (m.cache.misses, len(m.cache), asked) == (1, 9, [1])
+    assert m.read("big", 500, 12_000) == big[500:12_500] and m.read("big", 8000, 100) == big[8000:8100]
+    with pytest.raises(EntryError, match="OutOfRange"):
+        m.read("big", 19_999, 2)
+    m.write("a", 5, b"!")
+    m.rename("big", "b")
+    m.create("c")
+    for image in (m.commit_full(), m.commit_incremental()):
+        with zipfile.ZipFile(io.BytesIO(image)) as z:
+            assert {n: z.read(n) for n in z.namelist()} == {"a": b"hello!", "b": big, "c": b""}
+    assert m.read_entry("big", 10, 5) == big[10:15]
+    with pytest.raises(EntryError, match="NotFound"):
+        m.read_entry("c", 0, 0)
+
+
+def test_index_header_can_be_refreshed():
+    h = C.IndexHeader(source_file_size=1).refreshed(5, 6, 7)
+    assert (h.source_file_size, h.source_inode, h.source_mtime_ns) == (5, 6, 7) and C.IndexHeader.decode(h.encode()) == h
