@@ -88,20 +88,36 @@ def _quick(rule: Rule) -> str:
     return rule.pattern
 
 
+#: Matches are walked in stretches of this length, so that a text with very many costs no more than this for each.
+_STRETCH = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """[(start, order, end)] of a rule in one text, by the lengths of what lies between matches."""
     rx = F.lit(rule.pattern)
     zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, rx, F.lit(0)).alias("hit"), F.regexp_extract_all(text, rx, F.lit(rule.group)).alias("part"))
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    sizes = F.transform(F.filter(zipped, lambda x: x["hit"].isNotNull()), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["part"]).alias("part")))
+    empty, none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"), F.array().cast("array<bigint>")
+    zero = F.lit(0).cast("long")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
+        start = acc["at"] + x["gap"]
+        end = start + x["hit"]
         span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(x["part"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    def walk(stretches: Column) -> Column:
+        length = F.transform(stretches, lambda s: F.aggregate(s, zero, lambda n, x: n + x["gap"] + x["hit"]))
+        bases = F.aggregate(length, F.struct(zero.alias("at"), none.alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(stretches, bases, lambda s, at: F.aggregate(s, F.struct(at.alias("at"), empty.alias("out")), step, lambda a: a["out"])))
 
-    walked = F.aggregate(F.filter(zipped, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda a: a["out"])
-    return F.when(text.rlike(_quick(rule)), walked).otherwise(empty)
+    cut = _let(sizes, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _STRETCH).cast("int")), lambda i: F.slice(all_, i * _STRETCH + 1, _STRETCH)))
+    return F.when(text.rlike(_quick(rule)), _let(cut, walk)).otherwise(empty)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -178,6 +178,7 @@ SECRETS = [
     "f" * 24 + "g" + "0" * 23 + " " + "a" * 100,
     "password=" + "0123456789abcdef" * 2,
     "passwd  :  ok+/_.=-",
+    " ".join(("a%05d" % i) * (1 + i % 6) + " token=abc%d" % i for i in range(1500)),
 ]
 
 
