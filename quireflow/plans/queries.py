@@ -68,7 +68,7 @@ def page_geometry(spark, sf_dir):
 ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'click') c ON v.log = c.log AND v.sequence >= c.sequence""")
 def nearest_checkpoint(spark, sf_dir):
     e = _events(spark, sf_dir)
-    return lookup.as_of(e.where("event_type = 'view'").select("log", "sequence"), e.where("kind = 'DATA'").select("log", "sequence"), ["log"], "sequence", "sequence")
+    return lookup.as_of(e.where("event_type = 'view'").select("log", "sequence"), e.where("kind = 'DATA'").select("log", "sequence"), ["log"], "sequence", "sequence", stride=1 << 20)
 
 
 @_query(f"""WITH {_EV}, m AS (SELECT log, max(sequence) AS s FROM ev WHERE event_type = 'purchase' GROUP BY log)

@@ -69,8 +69,9 @@ def test_hashes(spark):
 def test_as_of_ties_and_nulls(spark):
     points = spark.createDataFrame([("a", 0, 1, "x"), ("a", 10, 1, "y"), ("a", 10, 2, "z"), (None, 0, 1, "n")], "k string, at int, chunk int, v string")
     probes = spark.createDataFrame([("a", -1), ("a", 5), ("a", 10), ("b", 5), (None, 5)], "k string, at int")
-    got = {(r.k, r.at): r.nearest for r in lookup.as_of(probes, points, ["k"], "at", "v", tie="chunk").collect()}
-    assert got == {("a", -1): None, ("a", 5): "x", ("a", 10): "z", ("b", 5): None, (None, 5): None}
+    for stride in (None, 3, 100):
+        got = {(r.k, r.at): r.nearest for r in lookup.as_of(probes, points, ["k"], "at", "v", tie="chunk", stride=stride).collect()}
+        assert got == {("a", -1): None, ("a", 5): "x", ("a", 10): "z", ("b", 5): None, (None, 5): None}
 
 
 def test_overlay_resolution(spark):
