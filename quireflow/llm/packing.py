@@ -204,6 +204,6 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1
     are packed like any other. Each id lies in exactly one piece; a sequence
     holds at most ``size`` ids and its pieces lie side by side from 0.
     """
-    scratch = Scratch(docs.sparkSession, "pieces")
+    scratch = Scratch(docs.sparkSession, "pieces", docs)
     pieces = tokenize(docs, path, end_id, size)
     return pack(scratch.keep(pieces if with_tokens else pieces.drop("tokens")), size)

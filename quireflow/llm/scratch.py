@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Input bytes for each file an intermediate table may have.
+BYTES_A_FILE = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,16 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Named tables of one operator call; ``drop`` removes those no later step reads."""
 
-    def __init__(self, spark: SparkSession, label: str) -> None:
+    def __init__(self, spark: SparkSession, label: str, source: DataFrame | None = None) -> None:
         self.spark = spark
+        # Every file costs the store several calls, so a small input's tables get a few files a core at most;
+        # the bound rises with the input, so that no task grows with it.
+        size = 0 if source is None else int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        self.files = min(max(4 * spark.sparkContext.defaultParallelism, size // BYTES_A_FILE), 1_000_000)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
-        # a few files a core are enough for small tables too: every file costs the store several calls
-        df.coalesce(4 * self.spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
+        df.coalesce(self.files).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

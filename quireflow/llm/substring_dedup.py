@@ -157,7 +157,7 @@ def remove_repeated_spans(docs: DataFrame, k: int = 20, m: int = 6) -> DataFrame
     fewer than ``k`` words have no window. Other columns are not read.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "spans")
+    scratch = Scratch(spark, "spans", docs)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = text.where("doc_id IS NOT NULL")
     pieces = known.mapInArrow(_pieces(k, m), "a long, doc_id long, start int, n short, s1 long, s2 long")
