@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 from quireflow.llm import words as W
 
 BINS = 1 << 14
+_STRETCH = 1 << 20
 #: The model has BINS floats a language; more languages than this are refused, so it stays within 32 MB.
 MOST_LANGUAGES = 500
 
@@ -39,6 +40,18 @@ def _trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[starts], bins[at[starts]].astype(np.int64)
 
 
+def _cells(data: np.ndarray, offs: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Trigram counts, BINS for each group of documents; a very long text is counted stretch by stretch."""
+    if len(data) <= 4 * _STRETCH or len(offs) != 2:
+        doc, bins = _trigrams(data, offs)
+        return np.bincount(group[doc] * BINS + bins, minlength=groups * BINS)
+    out = np.zeros(groups * BINS, np.int64)
+    for a in range(0, len(data), _STRETCH):
+        part = data[a : a + _STRETCH + 2]
+        out += np.bincount(group[0] * BINS + _trigrams(part, np.array([0, len(part)]))[1], minlength=groups * BINS)
+    return out
+
+
 def _count(batches):
     """(lang, text) -> (lang, bin, n), summed over the task."""
     total: dict[str, np.ndarray] = {}
@@ -47,9 +60,8 @@ def _count(batches):
         for lo, hi in W.slices(batch.column(1), 1 << 20):
             names = sorted(set(langs[lo:hi]))
             code = {x: i for i, x in enumerate(names)}
-            doc, bins = _trigrams(*W.utf8(batch.column(1).slice(lo, hi - lo)))
             own = np.array([code[x] for x in langs[lo:hi]], np.int64)
-            got = np.bincount(own[doc] * BINS + bins, minlength=len(names) * BINS).reshape(len(names), BINS)
+            got = _cells(*W.utf8(batch.column(1).slice(lo, hi - lo)), own, len(names)).reshape(len(names), BINS)
             for x, row in zip(names, got):
                 total[x] = total[x] + row if x in total else row
     for x, row in total.items():
@@ -69,12 +81,11 @@ class Mixture:
     def infer(self, data: np.ndarray, offs: np.ndarray, rounds: int = 10, largest_set: int = 4, penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each document: the main language's index, its proportion, the size of the language set."""
         docs, k = len(offs) - 1, len(self.names)
-        doc, bins = _trigrams(data, offs)
         best, share, size = np.full(docs, int(np.argmax(self.prior)) if k else -1), np.full(docs, self.prior.max() if k else 0.0), np.ones(docs, np.int64)
-        if not len(doc) or not k:
-            return best, share, size
-        cells = np.bincount(doc * BINS + bins, minlength=docs * BINS)
+        cells = _cells(data, offs, np.arange(docs), docs) if k else np.zeros(0, np.int64)
         at = np.flatnonzero(cells)
+        if not len(at):
+            return best, share, size
         n = cells[at].astype(np.float32)
         row = at // BINS
         has, head = np.unique(row, return_index=True)

@@ -8,7 +8,9 @@ this process is used.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +55,15 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession, hours: float) -> int:
+    """Deletes the tables of calls that began more than so many hours ago; a result not yet written out still reads its own."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = 0
+    for s in fs.listStatus(root) if fs.exists(root) else ():
+        if re.fullmatch(r"[a-z]+-[0-9a-f]{32}", s.getPath().getName()) and s.getModificationTime() < (time.time() - 3600 * hours) * 1000:
+            gone += bool(fs.delete(s.getPath(), True))
+    return gone

@@ -166,6 +166,7 @@ def remove_repeated_spans(docs: DataFrame, k: int = 20, m: int = 6) -> DataFrame
     shared = scratch.keep(pieces.join(again, "a", "left_semi"))
     first = shared.groupBy("a", "s1", "s2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("n").alias("n"))
     first = scratch.keep(first)
+    scratch.drop(again)
     later = (
         shared.join(first.select("a", "s1", "s2", "f"), ["a", "s1", "s2"])
         .where("doc_id <> f.doc_id OR start <> f.start")

@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from tests_shared import VOCAB, brute_minhash, brute_secrets, prose, split
 
-from quireflow.llm import decontamination, embedding_dedup, graph, language_id, minhash_dedup, packing, preference, secrets, sharding, substring_dedup, toxicity, trigrams, words
-from quireflow.llm.scratch import Scratch
+from quireflow.llm import decontamination, embedding_dedup, graph, language_id, minhash_dedup, packing, preference, scratch, secrets, sharding, substring_dedup, toxicity, trigrams, words
+from quireflow.llm.scratch import Scratch, sweep
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, secrets string, score double, contaminated string"
 
@@ -67,6 +67,16 @@ def test_components(spark):
     assert graph.connected_components(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_scratch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path))
+    s = Scratch(spark, "sweep", spark.range(3))
+    kept = s.keep(spark.range(5))
+    assert kept.count() == 5 and sweep(spark, 1000) == 0
+    other = s.keep(kept)
+    s.drop(kept)
+    assert other.count() == 5 and sweep(spark, -1) == 1
+
+
 # substring dedup
 
 
@@ -299,6 +309,13 @@ def test_language_mixtures(spark):
     assert language_id.predict(df, empty).where("lang_pred <> 'und'").count() == 0 and language_id.predict(df.limit(0), model).count() == 0
 
 
+def test_long_texts_are_counted_in_stretches(monkeypatch):
+    data, offs = words.utf8(pa.array([LONG + "é" * 99]))
+    whole = language_id._cells(data, offs, np.zeros(1, np.int64), 1)
+    monkeypatch.setattr(language_id, "_STRETCH", 100)
+    assert (language_id._cells(data, offs, np.zeros(1, np.int64), 1) == whole).all()
+
+
 # benchmark leaks
 
 
