@@ -96,7 +96,7 @@ def _signatures(width: int, collections: int, per: int):
 
 
 def _sets(width: int):
-    """(rep, text, d1, d2) -> rep, shingles: only rows whose set is the wanted one."""
+    """(rep, text, d1, d2, grp, grp_n, blk) -> rep, grp, grp_n, blk, shingles: only rows whose set is the wanted one."""
 
     def run(batches):
         for batch in batches:
@@ -105,7 +105,8 @@ def _sets(width: int):
                 d1, d2 = _digest(value, cut)
                 want = [batch.column(i).slice(lo, hi - lo).to_numpy() for i in (2, 3)]
                 sets = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(W.signed(value)))
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], names=["rep", "shingles"])
+                kept = [batch.column(i).slice(lo, hi - lo) for i in (0, 4, 5, 6)]
+                out = pa.RecordBatch.from_arrays([*kept, sets], names=["rep", "grp", "grp_n", "blk", "shingles"])
                 yield out.filter(pa.array((d1 == want[0]) & (d2 == want[1])))
 
     return run
@@ -120,8 +121,9 @@ def block_links(ids: np.ndarray, sets: pa.ListArray, percent: int) -> tuple[np.n
     both = np.zeros((n, n))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    width = max(1, (1 << 21) // n)
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = max(1, min(columns, (1 << 21) // n))
+    for a in range(0, columns, width):
         i, j = np.searchsorted(column, [a, a + width])
         part = np.zeros((n, width), np.float32)
         part[row[i:j], column[i:j] - a] = 1
@@ -198,7 +200,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80, collections:
     that repeat a doc_id are one node with the links of all of them.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(spark, "minhash", docs)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(text.mapInArrow(_signatures(width, collections, per_collection), "doc_id long, n_shingles long, d1 long, d2 long, values array<long>"))
 
@@ -216,17 +218,17 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80, collections:
     heads = scratch.keep(keyed.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b"))
     meets = keyed.join(heads, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     group = connected_components(meets, scratch)
+    scratch.drop(met, keyed, heads)
 
     # blocks: groups of up to BLOCK classes whole, larger ones by hash
     sizes = scratch.keep(group.groupBy("component").agg(F.count("*").alias("n")))
     placed = group.join(sizes, "component").select(
         F.col("node").alias("rep"), F.col("component").alias("grp"), F.col("n").alias("grp_n"), F.when(F.col("n") <= BLOCK, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (BLOCK // 2)))).alias("blk")
     )
-    wanted = classes.select("rep", "d1", "d2").join(placed, "rep")
-    sets = text.join(wanted.select(F.col("rep").alias("doc_id"), "d1", "d2"), "doc_id").select(F.col("doc_id").alias("rep"), "text", "d1", "d2")
-    # rows that repeat id and text give their set once; two classes can share a rep only if rows repeat an id
-    sets = sets.mapInArrow(_sets(width), "rep long, shingles array<long>")
-    member = scratch.keep(sets.join(placed, "rep"))
+    wanted = classes.select("rep", "d1", "d2").join(placed, "rep").select("rep", "d1", "d2", "grp", "grp_n", "blk")
+    sets = text.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "text", "d1", "d2", "grp", "grp_n", "blk")
+    # rows that repeat id and text give their set once each; two classes can share a rep only if rows repeat an id
+    member = scratch.keep(sets.mapInArrow(_sets(width), "rep long, grp long, grp_n long, blk long, shingles array<long>"))
     links = scratch.keep(_links(member.select(F.col("grp").alias("k1"), F.col("blk").alias("k2"), "rep", "shingles"), percent))
 
     # a group of one block is settled by it; links of larger groups are still to be joined up
