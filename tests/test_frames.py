@@ -1,5 +1,6 @@
 """DataFrame operators, sources, streaming and the registered queries."""
 
+import json
 import os
 import zlib
 from collections import OrderedDict
@@ -240,3 +241,22 @@ def test_layouts_match_what_is_written(spark):
     got = layout.index_layout(df.select("archive", "name"), ["archive"], hashing.name_hash("name"))
     assert {r.entry_idx: (r.name, r.name_offset) for r in got.collect()} == {i: (index.name(e), e.name_offset) for i in range(3) if (e := index.entry(i))}
     assert layout.index_size(got, ["archive"]).first().advisory_offset == index.header.advisory_offset
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_queries_without_sql(spark):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.crc32 for r in registry.QUERIES["entry_crc32"](spark, SF).collect()} == {i: zlib.crc32(t) for i, t in docs.items()}
+    web = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in registry.QUERIES["entry_hashes"](spark, SF).collect():
+        raw = web[r.page_id].html.encode()
+        assert (r.name_hash, r.cd_hash.lower(), r.crc32c) == (f"{hashing.name_hash_of(web[r.page_id].url):016x}", hashing.cd_hash_of(raw).hex(), hashing.crc32c_of(raw))
+    ev = [r for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("event_id").collect() if r.event_type == "view"]
+    got = {r.log: (r.hits, r.misses) for r in registry.QUERIES["lru_cache_sim"](spark, SF).collect()}
+    caches = {}
+    for r in ev:
+        c = caches.setdefault(r.user_id, cache.PageCache(8 * 4096))
+        k = int(json.loads(r.props)["k"])
+        if c.get(k) is None:
+            c.insert(k, b"", 4096)
+    assert got == {u: (c.hits, c.misses) for u, c in caches.items()}
