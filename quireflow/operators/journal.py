@@ -49,15 +49,24 @@ def source_high_water(original: Column, smallest_resize: Column) -> Column:
     return F.least(original, F.coalesce(smallest_resize, original))
 
 
-def spill(journal: DataFrame, by: list[str], resident: int) -> DataFrame:
-    """Pages with stamp, rank (newest first) and ``spilled``: oldest first inserts leave once more than ``resident`` are held.
+def spill(journal: DataFrame, by: list[str], resident: int, salts: int = 16) -> DataFrame:
+    """Pages with stamp and ``spilled``: the oldest first inserts leave once more than ``resident`` are held.
 
-    Exact while pages are only written and the limit is constant; other
-    histories need the fold in session.replay().
+    A log's newest pages are found in two steps, among the newest of each of
+    ``salts`` parts of it, so that no task ranks a whole log; what is older
+    than the last of them has spilled. Exact while pages are only written and
+    the limit is constant; other histories need the fold in session.replay().
     """
     stamps = first_stamps(journal, by)
-    w = Window.partitionBy(*by).orderBy(F.desc("stamp"), "entry", "page_index")
-    return stamps.withColumn("rank", F.row_number().over(w)).withColumn("spilled", F.col("rank") > resident)
+    order = [F.desc("stamp"), F.asc("entry"), F.asc("page_index")]
+    if not resident:
+        return stamps.withColumn("spilled", F.lit(True))
+    part = F.pmod(F.xxhash64("entry", "page_index"), F.lit(salts))
+    newest = stamps.withColumn("_p", part).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order))).where(F.col("_r") <= resident)
+    edge = newest.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") == resident)
+    edge = edge.select(*by, F.struct((-F.col("stamp")).alias("stamp"), "entry", "page_index").alias("_edge"))
+    beyond = F.struct((-F.col("stamp")).alias("stamp"), "entry", "page_index") > F.col("_edge")
+    return stamps.join(edge, by, "left").withColumn("spilled", F.coalesce(beyond, F.lit(False))).drop("_edge")
 
 
 def summary(journal: DataFrame, by: list[str]) -> DataFrame:

@@ -107,6 +107,21 @@ def test_journal_frames(spark):
     assert journal.space(j, ["log"]).first().should_compact is False
 
 
+def test_spill_against_a_session(spark):
+    import random
+
+    random.seed(4)
+    writes = [random.randrange(40) for _ in range(200)]
+    j = spark.createDataFrame([("l", "DATA", i, "e", p) for i, p in enumerate(writes)], "log string, kind string, sequence long, entry string, page_index long")
+    for resident in (0, 1, 7, 100):
+        s = session.Session({}, page_size=8, limit=8 * resident)
+        s.create("e")
+        for p in writes:
+            s.write("e", p * 8, b"12345678")
+        got = {r.page_index for r in journal.spill(j, ["log"], resident, salts=3).collect() if r.spilled}
+        assert got == set(s.dirty["e"].spilled)
+
+
 def test_policies(spark):
     c = F.lit
     r = spark.range(1).select(
