@@ -172,7 +172,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     every row is indexed. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "vectors")
+    scratch = Scratch(spark, "vectors", vectors)
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -205,7 +205,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     coded = scratch.keep(classes.mapInArrow(index, f"cid long, embedding {kind}, rep long, copies long, keys array<int>"))
     entry = coded.select("cid", F.posexplode("keys").alias("t", "key"))
     sizes = scratch.keep(entry.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    placed = coded.select("*", F.posexplode("keys").alias("t", "key")).join(sizes, ["t", "key"])
+    # which tables matter to a vector is found on narrow rows; the vectors themselves move once to be copied and once to their buckets
+    shared_in = entry.join(sizes, ["t", "key"]).groupBy("cid").agg(F.collect_list(F.struct("t", "key", "n")).alias("found"))
+    placed = coded.join(shared_in, "cid").select(*coded.columns, F.explode("found").alias("f")).select(*coded.columns, "f.*")
     # a bucket's blocks meet in pairs: a row goes to its own block and to its meeting with each other
     placed = placed.withColumn("p", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("cid", "t"), "p"))
     meet = F.transform(

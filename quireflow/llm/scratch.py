@@ -45,7 +45,7 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.coalesce(self.files).write.mode("overwrite").parquet(path)
+        df.coalesce(self.files).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
