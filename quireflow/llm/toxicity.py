@@ -70,7 +70,7 @@ def _vocabulary(batches):
     """(class or null, text) -> word, n0, n1: the different words of a batch, and how many documents of each class hold them."""
     for batch in batches:
         label = batch.column(0).fill_null(2).to_numpy(zero_copy_only=False).astype(np.int64)
-        for lo, hi in W.slices(batch.column(1), 1 << 24):
+        for lo, hi in W.slices(batch.column(1), 1 << 23):
             data, s, e, h, first = _tokens(batch.column(1).slice(lo, hi - lo))
             if not len(h):
                 continue
@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Models:
     tables simply teach nothing.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "toxicity")
+    scratch = Scratch(spark, "toxicity", docs)
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     per = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
