@@ -146,11 +146,16 @@ def predict(docs: DataFrame, model: Mixture) -> DataFrame:
     docs = docs.drop("lang_pred", "score", "n_langs")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept, text = docs.columns, F.col("text").cast("string")
+    # the text goes along once, unless it has to be cast to be read
+    extra = [F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_q_letters")]
+    place = kept.index("text")
+    if dict(docs.dtypes)["text"] != "string":
+        extra, place = [*extra, text.alias("_q_text")], len(kept) + 1
 
     def run(batches):
         mixture = shared.value
         for batch in batches:
-            column, has = batch.column(len(kept)), batch.column(len(kept) + 1)
+            column, has = batch.column(place), batch.column(len(kept))
             for lo, hi in W.slices(column, 1 << 20):
                 for a in range(lo, hi, 256):
                     b = min(hi, a + 256)
@@ -161,8 +166,7 @@ def predict(docs: DataFrame, model: Mixture) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[: len(kept)]], *new], names=[*kept, "lang_pred", "score", "n_langs"])
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("n_langs", IntegerType())
-    rows = docs.select("*", text.alias("_q_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_q_letters"))
-    return rows.mapInArrow(run, schema)
+    return docs.select("*", *extra).mapInArrow(run, schema)
 
 
 def fold(modulus: int, held: int):
