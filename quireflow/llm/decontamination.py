@@ -53,13 +53,15 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _item_windows(items: DataFrame, least: int) -> DataFrame:
-    """(width, h, item_id, j): all windows of each item, or the whole of an item too short for the stride but its first word."""
+    """(width, h, item_id, j): all windows of each item with a word that is no placeholder, or the whole of an item too short for the stride but its first word."""
     n = F.size("ic")
     width = F.when(n < least, n - 1).otherwise(F.lit(WINDOW))
     start = F.when(n < least, F.array(F.lit(1))).otherwise(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))))
     rows = items.where(n > 1).select("item_id", "ic", width.alias("width"), F.explode(start).alias("j"))
     window = F.slice("ic", F.col("j") + 1, F.col("width"))
-    telling = F.size(F.filter(window, lambda w: ~_slot(w))) >= LITERAL
+    # what a run must hold besides placeholders is asked of the run; the first word of a short item may be one of LITERAL
+    literals = F.size(F.filter(window, lambda w: ~_slot(w)))
+    telling = F.when(n < least, (n > LITERAL) & (literals >= LITERAL - 1)).otherwise(literals > 0)
     return rows.where(telling).select("width", F.xxhash64(window).alias("h"), "item_id", "j")
 
 
@@ -86,7 +88,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         stride = STRIDE if width == WINDOW else 1  # an item of WINDOW + 1 words shares the full width: then all starts are needed
         if width == WINDOW and not items.where(F.size("ic") == WINDOW + 1).isEmpty():
             stride = 1
-        starts = F.when(F.size("w") >= width, F.sequence(F.lit(0), F.size("w") - width, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        starts = _starts(width, stride)
+        if stride > 1:
+            hollow = lambda i: F.forall(F.slice("w", i + 1, width), _slot)
+            starts = F.when(F.exists(starts, hollow), F.concat(starts, F.filter(_starts(width, 1), lambda i: _edge(i, width)))).otherwise(starts)
         found = words.select("doc_id", F.explode(_tiles(starts, width)).alias("t")).select("doc_id", F.col("t.i").alias("i"), F.col("t.h").alias("h"))
         found = found.join(F.broadcast(own) if small else own, "h").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct()
         hits = found if hits is None else hits.union(found)
@@ -125,6 +130,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return part.groupBy("doc_id", "item_id").agg(F.max("words").cast("long").alias("words"))
 
 
+def _starts(width: int, stride: int) -> Column:
+    return F.when(F.size("w") >= width, F.sequence(F.lit(0), F.size("w") - width, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+
+
+def _edge(i: Column, width: int) -> Column:
+    """Whether the window of placeholders at ``i`` has another word at one end only.
+
+    Windows of placeholders alone are not indexed, or every table of numbers
+    would meet every list of numbers. A run that holds one and any other word
+    also holds such an edge, so no run is lost.
+    """
+    first, last = F.get("w", i), F.get("w", i + width - 1)
+    return (_slot(first) != _slot(last)) & F.forall(F.slice("w", i + 2, width - 2), _slot)
+
+
 def _tiles(starts: Column, width: int) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(F.col("w"), i + 1, width)).alias("h")))
 

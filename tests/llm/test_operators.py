@@ -346,6 +346,23 @@ def test_verbatim_leaks_against_brute_force(spark):
     assert got == {i: [j for j, b in enumerate(items) if b in t] for i, t in enumerate(texts)}
 
 
+def test_leaks_of_items_rich_in_slots(spark):
+    items = [
+        "Then Alice has 5 km, Bob has 7 km, Carol has 9 km, Dave has 4 km, Erin has 6 km.",
+        "Compute 12 kg plus 30 kg minus 4 kg plus 15 kg times 3 divided by 8.",
+        "What is 5 plus 7 minus 3?",
+        "Please count up from 1 2 3 4 5 6 7 8 then stop here",
+        "9 8 7 6 5 4 3 2 1 9 8 7 6",
+    ]
+    copies = [items[0], items[1].replace("12", "2.5").replace("8", "17"), items[2].replace("7", "70"), "up from 1 2 3 4 5 6 7 8 then stop", items[4]]
+    # any offset to the windows of the document; a list of numbers alone says nothing
+    texts = [f"{prose(20 + k, 500 + k)}. {c} {prose(9, 510 + k)}" for c in copies for k in range(4)]
+    texts += [" ".join(["1"] * 3000), "Compute 12 kg plus 30 kg minus 4 kg.", "What is 5 plus 7?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontamination.mark_contaminated(docs_table(spark, texts), bench).collect()}
+    assert got == {i: [i // 4] if i < 16 else [] for i in range(len(texts))}
+
+
 # toxicity
 
 
