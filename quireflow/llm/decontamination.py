@@ -5,8 +5,8 @@ benchmark items alike, so that a question asked again with other values keeps
 its template. Windows of template words are joined by hash: every window of
 an item with windows of a document at a fixed stride, which finds any common
 run of window + stride - 1 words. Each alignment found is then read word by
-word, and the values in its slots must map consistently: one item value
-always to the same document value.
+word, and the values in the slots of a run must map consistently: one item
+value always to the same document value. A run is judged whole.
 """
 
 from __future__ import annotations
@@ -111,15 +111,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         cut(F.col("f.ic"), lo - shift, hi - lo).alias("ic"),
         cut(F.col("f.ir"), lo - shift, hi - lo).alias("ir"),
     )
-    # the longest run of equal template words
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("end"))
+    # every run of equal template words that is long enough
+    least_run = F.least(F.lit(RUN), F.col("n") - 1)
+    none = F.array().cast("array<struct<start:int,size:int>>")
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), none.alias("runs"))
+
+    def closed(a: Column) -> Column:
+        run = F.struct((a["at"] - a["run"]).alias("start"), a["run"].alias("size"))
+        return F.when(a["run"] >= least_run, F.concat(a["runs"], F.array(run))).otherwise(a["runs"])
 
     def step(a: Column, same: Column) -> Column:
         run = F.when(same, a["run"] + 1).otherwise(F.lit(0))
-        return F.struct((a["at"] + 1).alias("at"), run.alias("run"), F.greatest(a["best"], run).alias("best"), F.when(run > a["best"], a["at"] + 1).otherwise(a["end"]).alias("end"))
+        return F.struct((a["at"] + 1).alias("at"), run.alias("run"), F.when(same, a["runs"]).otherwise(closed(a)).alias("runs"))
 
-    part = part.withColumn("r", F.aggregate(F.zip_with("dc", "ic", lambda x, y: x == y), zero, step)).where(F.col("r.best") >= F.least(F.lit(RUN), F.col("n") - 1))
-    start, size = F.col("r.end") - F.col("r.best"), F.col("r.best")
+    runs = F.aggregate(F.zip_with("dc", "ic", lambda x, y: x == y), zero, step, closed)
+    part = part.select("*", F.explode(runs).alias("r"))
+    start, size = F.col("r.start"), F.col("r.size")
     part = part.select("doc_id", "item_id", "n", size.alias("words"), cut(F.col("ic"), start, size).alias("ic"), cut(F.col("ir"), start, size).alias("ir"), cut(F.col("dr"), start, size).alias("dr"))
     # slots: what an item value becomes must be one value
     filled = F.filter(F.arrays_zip("ic", "ir", "dr"), lambda x: _slot(x["ic"]))

@@ -363,6 +363,17 @@ def test_leaks_of_items_rich_in_slots(spark):
     assert got == {i: [i // 4] if i < 16 else [] for i in range(len(texts))}
 
 
+def test_every_run_of_an_alignment_is_judged(spark):
+    first = "in the evening Alice and Bob met Alice again near the very old stone bridge of the town"
+    second = "where 12 people were waiting for the last slow train to come"
+    bench = spark.createDataFrame([(1, f"{first} today {second}")], "item_id long, text string")
+    swapped = first.replace("Alice", "Carol", 1)
+    texts = [f"{swapped} today {second}", f"{swapped} tomorrow {second}", f"{second} today {swapped}", f"{swapped} tomorrow then", f"{first} tomorrow {second}"]
+    got = {(r.doc_id, r.item_id): r.words for r in decontamination.find_leaks(docs_table(spark, [f"{prose(21, 600)} {t} {prose(9, 601)}" for t in texts]), bench).collect()}
+    # a run with inconsistent slots is no leak, but hides none beside it
+    assert got == {(1, 1): 12, (2, 1): 12, (4, 1): 18}
+
+
 # toxicity
 
 
