@@ -8,6 +8,7 @@ Hashing goes through the text in slices of bounded size, whatever the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_B = 0x9E3779B97F4A7C15
-_BINV = pow(_B, -1, 1 << 64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -42,7 +40,10 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.cumprod(out, dtype=_U)
 
 
-_POW, _IPOW = _powers(_B, 2 * _SLICE), _powers(_BINV, 2 * _SLICE)
+#: Words of more bytes are hashed one at a time.
+_LONG = 64
+_K = _U(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,25 +86,35 @@ def bounds(data: np.ndarray, offs: np.ndarray, between: np.ndarray = _SPACE) ->
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; ``lower`` folds A-Z."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; ``lower`` folds A-Z, and each ``seed`` gives a hash unrelated to the others.
+
+    Eight bytes at a time are mixed into what came before; a word of more than
+    ``_LONG`` bytes gets a cryptographic digest instead.
+    """
     out = np.empty(len(starts), _U)
+    key = seed.to_bytes(8, "little")
     a = 0
     with np.errstate(over="ignore"):
+        salt = mix(np.array([seed + 1], _U) * _K)[0]
         while a < len(starts):
             b = max(a + 1, int(np.searchsorted(ends, starts[a] + _SLICE, "right")))
             lo, hi = starts[a], ends[b - 1]
-            part = data[lo:hi]
-            if lower:
-                part = _LOWER[part]
-            n = int(hi - lo)
-            up, down = (_POW, _IPOW) if n < len(_POW) else (_powers(_B, n + 1), _powers(_BINV, n + 1))
-            total = np.zeros(n + 1, _U)
-            np.cumsum(_BYTE[part] * up[:n], out=total[1:])
-            s, e = starts[a:b] - lo, ends[a:b] - lo
-            out[a:b] = (total[e] - total[s]) * down[s] + (e - s).astype(_U)
+            part = np.zeros(int(hi - lo) + 8, np.uint8)
+            part[:-8] = _LOWER[data[lo:hi]] if lower else data[lo:hi]
+            eight = np.ndarray(len(part) - 7, "<u8", part, strides=(1,))
+            s, n = starts[a:b] - lo, ends[a:b] - starts[a:b]
+            h = mix((salt + n.astype(_U) * _K) ^ (eight[s] & _KEEP[np.minimum(n, 8)]))
+            for j in range(8, _LONG, 8):
+                more = np.flatnonzero(n > j)
+                if not len(more):
+                    break
+                h[more] = mix(h[more] ^ (eight[s[more] + j] & _KEEP[np.minimum(n[more] - j, 8)]))
+            for i in np.flatnonzero(n > _LONG).tolist():
+                h[i] = int.from_bytes(blake2b(part[s[i] : s[i] + n[i]], digest_size=8, key=key).digest(), "little")
+            out[a:b] = h
             a = b
-    return mix(out)
+    return out
 
 
 def rolling(h: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:

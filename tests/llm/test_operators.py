@@ -39,6 +39,7 @@ def test_words_and_hashes(lower):
     for i, t in enumerate(AWKWARD):
         assert [raw[s[j] : e[j]].decode() for j in range(first[i], first[i + 1])] == split(t)
     h = words.word_hashes(data, s, e, lower)
+    assert not (h == words.word_hashes(data, s, e, lower, seed=1)).any()
     seen = {}
     for j in range(len(s)):
         w = raw[s[j] : e[j]]
@@ -57,6 +58,20 @@ def test_word_longer_than_a_slice(monkeypatch):
     assert h[0] == h[2] != h[1]
 
 
+def mirrored(n, a="a", b="b"):
+    """Two different words of 2^n bytes that every polynomial in an odd base modulo 2^64 confuses once n is 10 or more."""
+    return a if n == 0 else mirrored(n - 1, a, b) + mirrored(n - 1, b, a)
+
+
+def test_words_that_polynomials_confuse():
+    for n in (3, 4, 6, 7, 10, 12):
+        data, offs = words.utf8(pa.array([mirrored(n, *x) for x in ("ab", "ba")]))
+        s, e, _ = words.bounds(data, offs)
+        for seed in range(3):
+            h = words.word_hashes(data, s, e, seed=seed)
+            assert h[0] != h[1]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (12, 11), (5, 5), (None, 3), (20, 19), (19, 18), (18, 17), (17, 16), (16, 3)]
     df = spark.createDataFrame(edges, "a long, b long")
@@ -102,6 +117,25 @@ def test_substring_dedup(spark, k, m):
     assert [got[i] for i in range(len(texts))] == brute_spans(texts, k)
 
 
+def test_substring_dedup_long_words(spark):
+    rest = " " + prose(19, 30)
+    texts = [mirrored(10) + rest, mirrored(10, "b", "a") + rest, mirrored(10) + rest, mirrored(11) + " " + mirrored(11, "b", "a"), "w" * 70000 + rest, "w" * 69999 + "v" + rest]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeated_spans(docs_table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_spans(texts, 20) and got[1][1] == 0 and got[2][1] == 20
+
+
+def test_substring_dedup_paths(spark):
+    # long common paths that fork, meet again, and end inside one another
+    a, b, c = prose(300, 31), prose(150, 32), prose(90, 33)
+    parts = a.split()
+    texts = [f"{a} {b}", f"{b} {a}", f"{a} {c}", f"{c} {b} {c}", " ".join(parts[40:200]), " ".join(parts[100:]) + " " + b, f"{c} {c} {c}", " ".join(parts[:120] + parts[180:])]
+    for seed in range(3):
+        order = np.random.default_rng(seed).permutation(len(texts))
+        shuffled = [texts[i] for i in order]
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeated_spans(docs_table(spark, shuffled)).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_spans(shuffled, 20)
+
+
 def test_substring_dedup_ids(spark):
     a = prose(40, 6)
     got = substring_dedup.remove_repeated_spans(docs_table(spark, [a, a, a, a], [None, 3, 3, 9])).collect()
@@ -287,6 +321,12 @@ def test_minhash_ids(spark):
     assert minhash_dedup.components(docs_table(spark, [])).count() == 0
 
 
+def test_minhash_long_words(spark):
+    texts = [mirrored(10), mirrored(10, "b", "a"), mirrored(10).upper(), mirrored(11) + " x y z"]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.components(docs_table(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3}
+
+
 # languages
 
 
