@@ -6,13 +6,16 @@ minhashes give collections * (collections - 1) / 2 tables, whose number alone
 sets the recall: a link is missed only if at most one collection agrees
 (at similarity 0.8 with 14 collections of 2, about 2 in 100,000).
 
-Texts with equal shingle sets are one class from the start. Classes that meet
-in a table are candidates; connected candidates are compared on their full
-shingle sets in blocks of bounded size, each block by sparse matrix products,
-so neither a bucket nor a group of copies is expanded into pairs. Blocks of a
-large group are then compared with each other as far as their members are not
-yet linked. That is exact: within a group, no two classes of different
-components remain uncompared.
+Texts with equal shingle sets are one class from the start. The smallest class
+of a table's bucket is its head. Each class is compared with the smallest of
+its heads and the others of that head, on full shingle sets, in blocks of
+bounded size by matrix products, so neither a bucket nor a group of copies is
+expanded into pairs. Components come from links found so and from nothing
+else: candidates that are not alike join nothing. What is then left are
+buckets whose members are in several components and have not all met; the
+members of such buckets with one head are compared block against block as far
+as they are not in one component. That is exact: no two classes that share a
+bucket and end in different components remain uncompared.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from quireflow.llm import words as W
 from quireflow.llm.graph import connected_components
 from quireflow.llm.scratch import Scratch
 
-#: Classes of a block when a group is first compared, and when what is left of a large group is.
+#: Classes of a block when a head and its members are first compared, and when what is left of a large group is.
 BLOCK, WIDE = 64, 256
 
 
@@ -96,7 +99,7 @@ def _signatures(width: int, collections: int, per: int):
 
 
 def _sets(width: int):
-    """(rep, text, d1, d2, grp, grp_n, blk) -> rep, grp, grp_n, blk, shingles: only rows whose set is the wanted one."""
+    """(rep, text, d1, d2, grp, blk, blocks) -> rep, grp, blk, blocks, shingles: only rows whose set is the wanted one."""
 
     def run(batches):
         for batch in batches:
@@ -106,7 +109,7 @@ def _sets(width: int):
                 want = [batch.column(i).slice(lo, hi - lo).to_numpy() for i in (2, 3)]
                 sets = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(W.signed(value)))
                 kept = [batch.column(i).slice(lo, hi - lo) for i in (0, 4, 5, 6)]
-                out = pa.RecordBatch.from_arrays([*kept, sets], names=["rep", "grp", "grp_n", "blk", "shingles"])
+                out = pa.RecordBatch.from_arrays([*kept, sets], names=["rep", "grp", "blk", "blocks", "shingles"])
                 yield out.filter(pa.array((d1 == want[0]) & (d2 == want[1])))
 
     return run
@@ -215,28 +218,39 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80, collections:
     agreeing = single.join(met, ["j", "v"], "left_semi").groupBy("rep", "d1", "d2").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("at")).where("size(at) > 1")
     pairs = F.flatten(F.transform("at", lambda x: F.transform(F.filter("at", lambda y: y["j"] > x["j"]), lambda y: F.xxhash64(x["j"], x["v"], y["j"], y["v"]))))
     keyed = scratch.keep(agreeing.select("rep", F.explode(pairs).alias("key")))
-    heads = scratch.keep(keyed.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b"))
-    meets = keyed.join(heads, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    group = connected_components(meets, scratch)
+    heads = scratch.keep(keyed.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b < z").select("key", "b"))
+    tables = scratch.keep(keyed.join(heads, "key"))
     scratch.drop(met, keyed, heads)
 
-    # blocks: groups of up to BLOCK classes whole, larger ones by hash
-    sizes = scratch.keep(group.groupBy("component").agg(F.count("*").alias("n")))
-    placed = group.join(sizes, "component").select(
-        F.col("node").alias("rep"), F.col("component").alias("grp"), F.col("n").alias("grp_n"), F.when(F.col("n") <= BLOCK, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (BLOCK // 2)))).alias("blk")
-    )
-    wanted = classes.select("rep", "d1", "d2").join(placed, "rep").select("rep", "d1", "d2", "grp", "grp_n", "blk")
-    sets = text.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "text", "d1", "d2", "grp", "grp_n", "blk")
+    # each class and the smallest head it meets: blocks of up to BLOCK classes whole, larger ones by hash, the head in each
+    near = scratch.keep(tables.groupBy("rep").agg(F.min("b").alias("h")))
+    n = F.count("*")
+    sizes = scratch.keep(near.where("h < rep").groupBy("h").agg(n.alias("n"), F.when(n < BLOCK, F.lit(1)).otherwise(F.ceil(n / (BLOCK // 2))).cast("long").alias("blocks")))
+    own = sizes.select(F.col("h").alias("rep"), "blocks")
+    placed = near.where("h < rep").join(sizes, "h").select("rep", F.col("h").alias("grp"), F.pmod(F.xxhash64("rep"), "blocks").alias("blk"))
+    placed = near.select("rep").join(placed, "rep", "left").join(own, "rep", "left")
+    wanted = classes.select("rep", "d1", "d2").join(placed, "rep").withColumnRenamed("rep", "doc_id")
+    sets = text.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text", "d1", "d2", "grp", "blk", "blocks")
     # rows that repeat id and text give their set once each; two classes can share a rep only if rows repeat an id
-    member = scratch.keep(sets.mapInArrow(_sets(width), "rep long, grp long, grp_n long, blk long, shingles array<long>"))
-    links = scratch.keep(_links(member.select(F.col("grp").alias("k1"), F.col("blk").alias("k2"), "rep", "shingles"), percent))
-
-    # a group of one block is settled by it; links of larger groups are still to be joined up
-    whole = placed.where(F.col("grp_n") <= BLOCK).select("rep")
-    found = links.join(whole, F.col("a") == F.col("rep"), "left_semi").select(F.col("a").alias("node"), F.col("b").alias("component"))
-    large = member.where(F.col("grp_n") > BLOCK)
-    if not large.isEmpty():
-        found = found.union(_across(large, links.join(whole, F.col("a") == F.col("rep"), "left_anti"), percent, scratch))
+    member = scratch.keep(sets.mapInArrow(_sets(width), "rep long, grp long, blk long, blocks long, shingles array<long>"))
+    met_heads = member.where("blocks IS NOT NULL").select(F.col("rep").alias("k1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k2"), "rep", "shingles")
+    dealt = member.where("grp IS NOT NULL").select(F.col("grp").alias("k1"), F.col("blk").alias("k2"), "rep", "shingles").union(met_heads)
+    links = scratch.keep(_links(dealt, percent))
+    found = connected_components(links, scratch)
+
+    # buckets whose members are still apart and were not all in one block
+    labels = near.join(found, F.col("rep") == F.col("node"), "left").select("rep", "h", F.coalesce("component", "rep").alias("comp"))
+    each = tables.join(scratch.keep(labels), "rep")
+    apart = each.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("b").alias("b"), F.bool_and((F.col("h") == F.col("b")) | (F.col("rep") == F.col("b"))).alias("same")).where("lo < hi")
+    whole = sizes.where("blocks = 1").select(F.col("h").alias("b"), F.lit(True).alias("met"))
+    apart = scratch.keep(apart.join(whole, "b", "left").where("NOT (same AND coalesce(met, false))").select("key"))
+    if not apart.isEmpty():
+        left = scratch.keep(tables.join(apart, "key").select(F.col("b").alias("grp"), "rep").distinct())
+        count = scratch.keep(left.groupBy("grp").agg(F.count("*").alias("n")))
+        left = left.join(count, "grp").join(member.select("rep", "shingles"), "rep")
+        left = scratch.keep(left.select("grp", "n", "rep", "shingles"))
+        links = scratch.keep(links.union(_links(left.where(F.col("n") <= BLOCK).select(F.col("grp").alias("k1"), F.lit(0).cast("long").alias("k2"), "rep", "shingles"), percent)))
+        found = _across(left.where(F.col("n") > BLOCK), links, percent, scratch)
     node = classes.select("d1", "d2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("cls"))
     # a doc_id on several rows may be in several classes: those are then one component
     own = usable.select("doc_id", "d1", "d2").join(node, ["d1", "d2"])
@@ -250,22 +264,25 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80, collections:
 
 
 def _across(large: DataFrame, links: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of large groups, comparing across blocks only what is not yet in one component."""
+    """(node, component) of all ``links`` and those within the groups of ``large`` (grp, rep, shingles), of which only members not yet in one component are compared."""
+    found = connected_components(links, scratch)
+    if large.isEmpty():
+        return found
     for last in (False, True):
-        found = connected_components(links, scratch)
         state = large.join(found, F.col("rep") == F.col("node"), "left").select("grp", "rep", F.coalesce("component", "rep").alias("comp"), "shingles")
         state = scratch.keep(state)
-        parts = scratch.keep(state.groupBy("grp", "comp").agg(F.count("*").alias("n")))
+        parts = scratch.keep(state.groupBy("grp", "comp").agg(F.count("*").alias("n"), F.min("rep").alias("least")))
         split = scratch.keep(parts.groupBy("grp").agg(F.count("*").alias("comps"), F.sum("n").alias("n")).where("comps > 1"))
         if split.isEmpty():
             return found
         if not last:
-            # one member of each component, again in blocks: usually settles almost all
-            few = state.where("rep = comp").join(split, "grp").withColumn("k2", F.pmod(F.xxhash64("rep"), F.ceil(F.col("comps") / BLOCK)))
+            # one member of each component, in blocks: usually settles almost all
+            few = state.join(parts.select("grp", F.col("least").alias("rep")), ["grp", "rep"], "left_semi").join(split, "grp").withColumn("k2", F.pmod(F.xxhash64("rep"), F.ceil(F.col("comps") / BLOCK)))
             links = scratch.keep(links.union(_links(few.select(F.col("grp").alias("k1"), "k2", "rep", "shingles"), percent)))
+            found = connected_components(links, scratch)
             continue
         # what is left: blocks of one component each, or of many small ones; each two blocks meet unless both are of one component
-        tagged = state.join(split.select("grp"), "grp").join(parts, ["grp", "comp"])
+        tagged = state.join(split.select("grp"), "grp").join(parts.select("grp", "comp", "n"), ["grp", "comp"])
         mixed = tagged.where(F.col("n") < WIDE).groupBy("grp").agg(F.count("*").alias("rest"))
         tagged = tagged.join(mixed, "grp", "left").withColumn("pure", F.col("n") >= WIDE)
         slot = F.when(F.col("pure"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / WIDE))).otherwise(F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("rest") / WIDE)))
@@ -274,5 +291,5 @@ def _across(large: DataFrame, links: DataFrame, percent: int, scratch: Scratch)
         other = blocks.select("grp", F.col("blk").alias("blk2"), F.col("owner").alias("owner2"))
         meet = blocks.join(other, "grp").where("blk <= blk2 AND (owner IS NULL OR owner2 IS NULL OR owner <> owner2)")
         meet = meet.select("grp", F.xxhash64("grp", "blk", "blk2").alias("k2"), F.explode(F.array_distinct(F.array("blk", "blk2"))).alias("blk"))
-        links = links.union(_links(tagged.join(meet, ["grp", "blk"]).select(F.col("grp").alias("k1"), "k2", "rep", "shingles"), percent))
+        links = scratch.keep(links.union(_links(tagged.join(meet, ["grp", "blk"]).select(F.col("grp").alias("k1"), "k2", "rep", "shingles"), percent)))
     return connected_components(links, scratch)

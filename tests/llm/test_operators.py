@@ -314,6 +314,23 @@ def test_minhash(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == list(zip(n, label))
 
 
+def test_minhash_groups_hold_no_chains_of_mere_candidates(spark, monkeypatch):
+    # texts alike enough to meet in tables (about 0.6 and less), but not to be linked, must not be pulled into one group
+    compared = []
+    links = minhash_dedup._links
+
+    def spy(members, percent):
+        compared.extend(r.n for r in members.groupBy("k1", "k2").agg(F.count("*").alias("n")).collect())
+        return links(members, percent)
+
+    monkeypatch.setattr(minhash_dedup, "_links", spy)
+    words_ = prose(2000, 90).split()
+    texts = [" ".join(words_[i : i + 100]) for i in range(0, 1800, 12)]  # a long chain of overlaps
+    got = {r.doc_id: r.component_id for r in minhash_dedup.components(docs_table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_minhash(texts)[1]
+    assert max(compared) < 20 and sum(compared) < 6 * len(texts)
+
+
 def test_minhash_ids(spark):
     a, b = prose(40, 8), prose(40, 9)
     got = Counter((r.doc_id, r.component_id) for r in minhash_dedup.components(docs_table(spark, [a, a, a, b, b, None], [None, 4, 4, 4, 7, 8])).collect())
