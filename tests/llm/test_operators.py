@@ -258,10 +258,13 @@ def test_trigram_queries():
 
 
 def brute_vectors(x, threshold=0.95):
-    ok = np.array([v is not None and len(v) == 8 and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in x])
-    m = np.array([v if o else [0.0] * 8 for v, o in zip(x, ok)], float)
-    m /= np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]
-    link = (m @ m.T >= threshold) & ok[:, None] & ok[None, :]
+    ok = [v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in x]
+    link = np.zeros((len(x), len(x)), bool)
+    for d in {len(v) for v, o in zip(x, ok) if o}:
+        at = np.array([i for i, v in enumerate(x) if ok[i] and len(v) == d])
+        m = np.array([x[i] for i in at], float)
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        link[np.ix_(at, at)] = m @ m.T >= threshold
     np.fill_diagonal(link, False)
     label = np.arange(len(x))
     while True:
@@ -271,19 +274,34 @@ def brute_vectors(x, threshold=0.95):
         label = now
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_embeddings(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, small", [(512, 32), (8, 4), (2, 1)])
+def test_embeddings(spark, monkeypatch, block, small):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "SMALL", small)
     r = np.random.default_rng(3)
     base = r.standard_normal((60, 8))
     x = [list(map(float, v)) for v in base] + [list(map(float, base[i % 5] + 0.05 * r.standard_normal(8))) for i in range(60)]
-    x += [x[0]] * 5 + [[2 * v for v in x[1]], None, [0.0] * 8, [float("nan")] * 8, [1.0, None] * 4, [float("inf")] * 8, [1.0, 2.0], []]
+    x += [x[0]] * 5 + [[2 * v for v in x[1]], None, [0.0] * 8, [float("nan")] * 8, [1.0, None] * 4, [float("inf")] * 8, [1.0, 2.0], [], [1.0, 2.0], [1.0, 2.1], [3.0], [5.0], [-1.0]]
+    x += [list(map(float, base[i % 7, :6] + 0.03 * r.standard_normal(6))) for i in range(40)]  # another dimension with tables of its own
     df = spark.createDataFrame([(i, v, "c") for i, v in enumerate(x)], "vec_id long, embedding array<double>, n_links string").repartition(3)
     got = {g.vec_id: (g.n_links, g.component_id) for g in embedding_dedup.link_vectors(df, recall=0.9999).collect()}
     n, label = brute_vectors(x)
     assert [got[i] for i in range(len(x))] == list(zip(n.tolist(), label.tolist()))
 
 
+def test_codes_reach_the_recall_asked_for(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 4)
+    monkeypatch.setattr(embedding_dedup, "ROTATIONS", 1)
+    x = np.random.default_rng(4).standard_normal((300, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    plenty = embedding_dedup.Codes(x, 1 << 14, 0.95, 0.6)
+    short = embedding_dedup.Codes(x, 1 << 14, 0.95, 0.99)
+    assert short.width < plenty.width and short.recall >= 0.99 and plenty.recall >= 0.6
+    # nothing found by sign bits: one bucket, and every pair is compared
+    none = embedding_dedup.Codes(x, 1 << 14, -0.999, 0.99)
+    assert (none.width, none.tables, none.recall) == (0, 1, 1.0) and (none.keys(x)[0] == 0).all()
+
+
 def test_embedding_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert embedding_dedup.link_vectors(spark.createDataFrame([], schema)).count() == 0

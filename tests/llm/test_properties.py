@@ -56,7 +56,7 @@ def test_vector_blocks(seed, n, second):
     x /= np.linalg.norm(x, axis=1)[:, None]
     reps, copies = r.permutation(100)[: n + second].astype(np.int64), r.integers(1, 4, n + second)
     keys = r.integers(0, 2, (n + second, 3))
-    side = np.array([0] * n + [1] * second)
+    side = np.array([1] * n + [2] * second) if second else np.zeros(n, int)
     met, count, root = embedding_dedup.block_links(1, side, reps, copies, keys, x, 0.9)
     link = (x @ x.T >= 0.9) & (keys[:, 0][:, None] != keys[:, 0][None, :])
     if second:
@@ -67,6 +67,25 @@ def test_vector_blocks(seed, n, second):
     assert all(root[i] == want[int(reps[i])] for i in range(len(reps)) if met[i])
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.lists(st.integers(1, 9), min_size=1, max_size=8))
+def test_small_vector_blocks_side_by_side(seed, sizes):
+    r = np.random.default_rng(seed)
+    n, cuts = sum(sizes), np.cumsum([0, *sizes])
+    x = r.standard_normal((n, 2))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    reps, copies, keys = r.permutation(100)[:n].astype(np.int64), r.integers(1, 4, n), r.integers(0, 2, (n, 3))
+    side, table = r.integers(1, 3, n), np.repeat(r.integers(0, 3, len(sizes)), sizes)
+    keys[np.arange(n), table] = 7  # a block's rows agree in its table
+    for i, j in zip(cuts, cuts[1:]):
+        if r.integers(2):  # else two blocks meet, of which one may be empty
+            side[i:j] = 0
+    met, count, root = embedding_dedup.small_links(np.array(sizes), table, side, reps, copies, keys, x, 0.9)
+    for i, j in zip(cuts, cuts[1:]):
+        one = embedding_dedup.block_links(int(table[i]), side[i:j], reps[i:j], copies[i:j], keys[i:j], x[i:j], 0.9)
+        assert met[i:j].tolist() == one[0].tolist() and count[i:j].tolist() == one[1].tolist() and root[i:j][met[i:j]].tolist() == one[2][one[0]].tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_packing_windows(lengths):
