@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with every awkward row."""
 
 import itertools
+import math
 import re
 import struct
 import zlib
@@ -161,6 +162,12 @@ def test_sharding(spark, n, parts):
     assert out == [] or out[0].source == "s"
 
 
+def test_sharding_keeps_columns_that_clash(spark):
+    df = spark.createDataFrame([(i, i, i, i, i, i) for i in range(40)], "part long, _part long, block long, row long, rank long, Shard long").repartition(3)
+    out = sharding.shuffle_into_shards(df, 4, block_rows=8).collect()
+    assert sorted((r.part, r._part, r.block, r.row, r["rank"]) for r in out) == [(i,) * 5 for i in range(40)] and {r.shard for r in out} == set(range(4))
+
+
 def test_communication_matrix_is_uniform():
     sources, targets = [30, 50, 20], [25, 25, 50]
     total = np.zeros((3, 3))
@@ -169,7 +176,41 @@ def test_communication_matrix_is_uniform():
         assert m.sum(axis=1).tolist() == sources and m.sum(axis=0).tolist() == targets and (m >= 0).all()
         total += m
     assert np.abs(total / 400 - np.outer(sources, targets) / 100).max() < 0.5
-    assert sum(x[2] for x in sharding.block_sizes(10**12, 16, 1 << 12)) == 10**12 and len(sharding.block_sizes(10**12, 16, 1 << 12)) <= sharding.BLOCKS
+
+
+def test_blocks_stay_small():
+    per = sharding.blocks_a_shard(10**10, 16, 1 << 12)
+    sizes = sharding.block_sizes(10**10, 16, per)
+    assert sizes.sum() == 10**10 and sizes.max() <= 1 << 12 and sizes.max() - sizes.min() <= 1
+    row = sharding.matrix_row(np.arange(0, 10**10 + 1, 10**10 // 64), sizes, 17, 5)
+    assert row[1].sum() == 10**10 // 64 and (row[1] <= sizes[row[0]]).all()
+
+
+def test_large_urns_follow_the_law(monkeypatch):
+    # the sampler of large urns, held against the exact law where that can be summed
+    monkeypatch.setattr(sharding, "_NUMPY", 0)
+    for good, bad, n in ((12, 9, 7), (300, 40, 100), (5, 2000, 400), (64, 64, 3), (1, 1, 1), (7, 3, 10)):
+        rng = np.random.default_rng(good)
+        tries = 20_000
+        got = np.bincount([sharding.hypergeometric(rng, good, bad, n) for _ in range(tries)], minlength=n + 1)
+        law = np.array([math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n) for x in range(n + 1)])
+        seen = law * tries > 5
+        assert ((got[seen] - tries * law[seen]) ** 2 / (tries * law[seen])).sum() < seen.sum() + 5 * math.sqrt(2 * seen.sum()) and got[law == 0].sum() == 0
+    urn = np.array([3, 5, 0, 8, 1])
+    mean = np.mean([sharding.draw(np.random.default_rng(i), urn, 6) for i in range(3000)], axis=0)
+    assert np.abs(mean - 6 * urn / urn.sum()).max() < 0.1
+
+
+def test_urns_beyond_a_thousand_million():
+    rng = np.random.default_rng(0)
+    good, bad, n = 3 * 10**12, 5 * 10**12, 10**10
+    x = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(3000)], float)
+    mean, sd = n * good / (good + bad), math.sqrt(n * good * bad / (good + bad) ** 2 * (1 - n / (good + bad)))
+    z = (x - mean) / sd
+    assert abs(z.mean()) < 0.1 and abs(z.std() - 1) < 0.06 and abs((z**3).mean()) < 0.3
+    # rare colours are where a rounded normal law goes wrong: three balls in two thousand million
+    few = np.bincount([sharding.hypergeometric(rng, 3, 2 * 10**9, 10**9) for _ in range(3000)], minlength=4) / 3000
+    assert np.abs(few - np.array([1, 3, 3, 1]) / 8).max() < 0.04
 
 
 # preference formatting
