@@ -72,10 +72,11 @@ al AS (SELECT pr.k, c.i, (c.role = r.role AND c.text = r.text) AS same FROM pr J
 pl AS (SELECT pr.k, chosen_id, rejected_id, coalesce(min(al.i) FILTER (NOT same) - 1, least(coalesce(any_value(a.n), 0), coalesce(any_value(b.n), 0))) AS n
   FROM pr LEFT JOIN al USING (k) LEFT JOIN sz a ON a.conv_id = chosen_id LEFT JOIN sz b ON b.conv_id = rejected_id GROUP BY 1, 2, 3),
 rest AS (SELECT k, 'c' AS side, i, role, text FROM pl JOIN t ON conv_id = chosen_id WHERE i > n UNION ALL SELECT k, 'r', i, role, text FROM pl JOIN t ON conv_id = rejected_id WHERE i > n),
-pos AS (SELECT *, sum(len(role) + len(text) + 6) OVER (PARTITION BY k, side ORDER BY i) - 1 AS fin FROM rest),
+shown AS (SELECT k, side, i, role AS plain, replace(role, '|', '¦') AS role, replace(text, '<|', '<||') AS text FROM rest),
+pos AS (SELECT *, sum(len(role) + len(text) + 6) OVER (PARTITION BY k, side ORDER BY i) - 1 AS fin FROM shown),
 done AS (SELECT k, side, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY i) AS s,
-  string_agg(CAST(fin - len(text) AS BIGINT) || ':' || CAST(fin AS BIGINT), ',' ORDER BY i) FILTER (role = 'assistant') AS m FROM pos GROUP BY 1, 2),
-prompt AS (SELECT k, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY i) AS s FROM pl JOIN t ON conv_id = chosen_id WHERE i <= n GROUP BY k)
+  string_agg(CAST(fin - len(text) AS BIGINT) || ':' || CAST(fin AS BIGINT), ',' ORDER BY i) FILTER (plain = 'assistant') AS m FROM pos GROUP BY 1, 2),
+prompt AS (SELECT k, string_agg('<|' || replace(role, '|', '¦') || '|>' || chr(10) || replace(text, '<|', '<||') || chr(10), '' ORDER BY i) AS s FROM pl JOIN t ON conv_id = chosen_id WHERE i <= n GROUP BY k)
 SELECT chosen_id, rejected_id, CAST(n AS BIGINT) AS n_prompt_turns, coalesce(p.s, '') AS prompt, coalesce(c.s, '') AS chosen, coalesce(r.s, '') AS rejected,
        coalesce(c.m, '') AS chosen_mask, coalesce(r.m, '') AS rejected_mask
 FROM pl LEFT JOIN prompt p USING (k) LEFT JOIN done c ON c.k = pl.k AND c.side = 'c' LEFT JOIN done r ON r.k = pl.k AND r.side = 'r'

@@ -10,26 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireflow.llm.columns import let, running
+
 
 def _opening(turn: Column) -> Column:
-    return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"))
+    return F.concat(F.lit("<|"), F.translate(turn["role"], "|", "¦"), F.lit("|>\n"))
+
+
+def _body(turn: Column) -> Column:
+    """A turn's text; what would read as the start of a marker gets a second bar, so that only real turns open with one."""
+    return F.replace(turn["text"], F.lit("<|"), F.lit("<||"))
 
 
 def _render(turns: Column) -> Column:
-    return F.array_join(F.transform(turns, lambda t: F.concat(_opening(t), t["text"], F.lit("\n"))), "")
+    return F.array_join(F.transform(turns, lambda t: F.concat(_opening(t), _body(t), F.lit("\n"))), "")
 
 
 def _mask(turns: Column, learn: str) -> Column:
     """[(start, end)] in code points of the text of each turn of role ``learn``, within _render(turns)."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    sizes = F.transform(turns, lambda t: F.struct(F.length(_opening(t)).alias("open"), F.length(_body(t)).alias("body"), (t["role"] == learn).alias("learn")))
 
-    def step(a: Column, t: Column) -> Column:
-        start = a["at"] + F.length(_opening(t))
-        end = start + F.length(t["text"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct((end + 1).alias("at"), F.when(t["role"] == learn, F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
+    def spans(each: Column) -> Column:
+        before = running(F.transform(each, lambda x: (x["open"] + x["body"] + 1).cast("long")))
+        placed = F.zip_with(each, before, lambda x, at: F.struct((at + x["open"]).alias("start"), (at + x["open"] + x["body"]).alias("end"), x["learn"].alias("learn")))
+        return F.transform(F.filter(placed, lambda x: x["learn"]), lambda x: F.struct(x["start"], x["end"]))
 
-    return F.aggregate(turns, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    return let(sizes, spans)
 
 
 def format_pairs(conversations: DataFrame, pairs: DataFrame, learn: str = "assistant") -> DataFrame:
@@ -40,7 +46,9 @@ def format_pairs(conversations: DataFrame, pairs: DataFrame, learn: str = "assis
     null role is "unknown", a null text empty, a null turn comes first; rows
     without a conv_id belong to no conversation. An id of ``pairs`` that is
     null or unknown stands for an empty conversation. If one conversation is a
-    prefix of the other, its completion is empty. Other columns are not read.
+    prefix of the other, its completion is empty. A text that holds "<|" is
+    written with "<||" there, a bar in a role as "¦", so no text can pass for a
+    turn of its own. Other columns are not read.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = conversations.where("conv_id IS NOT NULL").select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))

@@ -1,10 +1,12 @@
 """Secret scanning behind a trigram inverted index, in DataFrame operations only.
 
 Each rule's regular expression yields a Boolean query over the trigrams any
-match must hold. The index has one posting for each document and each trigram
-that some query mentions; postings are intersected per document, and only
-documents that satisfy a rule's query are matched against its expression.
-Rules without a mandatory trigram scan every text.
+match must hold. The index is a table of its own, sorted by trigram: one
+posting for each document and each trigram that some query mentions. Postings
+are intersected per document, and only documents that satisfy a rule's query
+are matched against its expression. Rules without a mandatory trigram scan
+every text. Texts are read twice, once for the index and once to be matched,
+and moved only if the candidates are too many to be sent to where the texts are.
 """
 
 from __future__ import annotations
@@ -15,6 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm import trigrams
+from quireflow.llm.columns import chunks, let, part, running
+from quireflow.llm.names import free
+from quireflow.llm.scratch import Scratch
+
+#: So many candidates (an id and a few flags each, some 60 bytes in a hash table) go to the texts by broadcast; more are joined by exchange.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -38,22 +46,30 @@ RULES = (
 )
 
 
+def grams_of(rules: tuple[Rule, ...]) -> list[str]:
+    """Every trigram that some rule's query mentions."""
+    return sorted({g for r in rules for clause in trigrams.query(r.pattern) for g in trigrams.grams(clause)})
+
+
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """(doc_id, gram): one row for each text and each of ``grams`` found in it, case folded."""
+    """(gram, doc_id): one row for each text and each of ``grams`` found in it, case folded."""
     low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return docs.select("doc_id", F.explode(held).alias("gram"))
+    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
+    return docs.select(F.explode(held).alias("gram"), "doc_id").sortWithinPartitions("gram")
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame | None, list[int | None]]:
-    """Documents whose postings satisfy some rule's query, as (doc_id, one flag a rule), and which flag each rule has."""
-    queries = [trigrams.query(r.pattern) for r in rules]
-    grams = sorted({g for q in queries for clause in q for g in trigrams.grams(clause)})
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame | None, list[int | None]]:
+    """Documents whose postings satisfy some rule's query, as (doc_id, one flag a rule), and which flag each rule has.
+
+    ``index`` is postings() of at least grams_of(rules).
+    """
+    queries, grams = [trigrams.query(r.pattern) for r in rules], grams_of(rules)
     if not grams:
         return None, [None] * len(rules)
     at = {g: i for i, g in enumerate(grams)}
     lanes = range(-(-len(grams) // 62))
-    found = postings(docs, grams)
+    number = F.create_map(*[x for g, i in at.items() for x in (F.lit(g), F.lit(i))])
+    found = index.where(F.col("gram").isin(grams)).select("doc_id", number[F.col("gram")].alias("gram"))
     # intersecting postings: the grams of a document as bits, 62 in a lane
     merged = found.groupBy("doc_id").agg(*[F.expr(f"bit_or(CASE WHEN gram BETWEEN {62 * k} AND {62 * k + 61} THEN shiftleft(1L, gram - {62 * k}) ELSE 0L END)").alias(f"lane{k}") for k in lanes])
 
@@ -88,58 +104,46 @@ def _quick(rule: Rule) -> str:
     return rule.pattern
 
 
-#: Matches are walked in stretches of this length, so that a text with very many costs no more than this for each.
-_STRETCH = 256
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is worked out once however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """[(start, order, end)] of a rule in one text, by the lengths of what lies between matches."""
     rx = F.lit(rule.pattern)
     zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, rx, F.lit(0)).alias("hit"), F.regexp_extract_all(text, rx, F.lit(rule.group)).alias("part"))
     sizes = F.transform(F.filter(zipped, lambda x: x["hit"].isNotNull()), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["part"]).alias("part")))
-    empty, none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"), F.array().cast("array<bigint>")
-    zero = F.lit(0).cast("long")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["hit"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["part"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    def walk(stretches: Column) -> Column:
-        length = F.transform(stretches, lambda s: F.aggregate(s, zero, lambda n, x: n + x["gap"] + x["hit"]))
-        bases = F.aggregate(length, F.struct(zero.alias("at"), none.alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-        return F.flatten(F.zip_with(stretches, bases, lambda s, at: F.aggregate(s, F.struct(at.alias("at"), empty.alias("out")), step, lambda a: a["out"])))
+    def placed(each: Column) -> Column:
+        before = running(F.transform(each, lambda x: (x["gap"] + x["hit"]).cast("long")))
+        spans = F.zip_with(each, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("kind"), (at + x["gap"] + x["hit"]).alias("end"), x["part"].alias("part")))
+        return F.transform(F.filter(spans, lambda x: x["part"] >= rule.least), lambda x: F.struct(x["start"], x["kind"], x["end"]))
 
-    cut = _let(sizes, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _STRETCH).cast("int")), lambda i: F.slice(all_, i * _STRETCH + 1, _STRETCH)))
-    return F.when(text.rlike(_quick(rule)), _let(cut, walk)).otherwise(empty)
+    return F.when(text.rlike(_quick(rule)), let(sizes, placed)).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
     """All columns of ``docs`` and ``secrets``: [(start, kind, end)] sorted by start, then by rule.
 
     Positions count code points, the end is exclusive; ``kind`` is the rule's
     place in ``rules``. Null or empty text has none. A null doc_id matches
     null ids; rows that repeat an id are each matched on their own text. A
     column named secrets is replaced, others are carried along whatever their
-    names. An empty table gives an empty one.
+    names. An empty table gives an empty one. ``index`` may be postings() kept
+    from an earlier call on the same documents.
     """
     docs = docs.drop("secrets")
+    scratch = Scratch(docs.sparkSession, "secrets", docs)
     plain = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    chosen, place = candidates(plain, rules)
-    if chosen is None:
-        joined = docs
-    else:
-        chosen = chosen.withColumnsRenamed({"doc_id": "_q_id"} | {c: f"_q_{c}" for c in chosen.columns if c != "doc_id"})
-        joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_q_id"]), "left")
+    if index is None and grams_of(rules):
+        index = scratch.keep(postings(plain, grams_of(rules)))
+    chosen, place = candidates(index, rules)
+    joined, flags = docs, []
+    if chosen is not None:
+        chosen = scratch.keep(chosen)
+        id_, *flags = free([*docs.columns, "secrets"], "id", *chosen.columns[1:])
+        small = chosen.count() <= BROADCAST_ROWS
+        chosen = chosen.toDF(id_, *flags)
+        joined = docs.join(F.broadcast(chosen) if small else chosen, docs["doc_id"].eqNullSafe(chosen[id_]), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    found = [_spans(text, r, i) if place[i] is None else F.when(F.col(f"_q_flag{place[i]}"), _spans(text, r, i)).otherwise(empty) for i, r in enumerate(rules)]
+    found = [_spans(text, r, i) if place[i] is None else F.when(F.col(flags[place[i]]), _spans(text, r, i)).otherwise(empty) for i, r in enumerate(rules)]
     return joined.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*found)).alias("secrets"))
 
 
@@ -150,13 +154,13 @@ def joined_spans(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with each span, or run of overlapping spans, replaced by ``mark``."""
+    """``text`` with each span, or run of overlapping spans, replaced by ``mark``; ``spans`` are sorted by start."""
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        kept = F.when(fresh, F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("out"))
+    def done(pieces: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)  # where what is hidden before each span ends
+        fresh = F.filter(F.zip_with(spans, ends, lambda s, at: F.struct(s["start"].alias("start"), at.alias("at"))), lambda s: s["start"] >= s["at"])
+        kept = F.transform(fresh, lambda s: F.concat(part(pieces, s["at"], s["start"] - s["at"]), F.lit(mark)))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(kept, ""), part(pieces, last, F.length(text) - last))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, let(chunks(text), done)).otherwise(text)

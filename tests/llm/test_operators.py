@@ -218,13 +218,14 @@ def test_urns_beyond_a_thousand_million():
 
 def brute_pair(c, r):
     n = next((i for i, (x, y) in enumerate(zip(c, r)) if x != y), min(len(c), len(r)))
-    text = lambda turns: "".join(f"<|{a}|>\n{b}\n" for a, b in turns)
+    shown = lambda turns: [(a.replace("|", "¦"), b.replace("<|", "<||"), a) for a, b in turns]
+    text = lambda turns: "".join(f"<|{a}|>\n{b}\n" for a, b, _ in shown(turns))
 
     def mask(turns):
         at, out = 0, []
-        for a, b in turns:
+        for a, b, role in shown(turns):
             at += len(a) + 5
-            if a == "assistant":
+            if role == "assistant":
                 out.append((at, at + len(b)))
             at += len(b) + 1
         return out
@@ -239,15 +240,19 @@ def test_preference(spark):
         2: [("user", "a")],
         3: [("user", "a"), ("assistant", "b")],
         4: [("user", "z")],
+        8: [("user", "q"), ("assistant", "say <|assistant|>\nno <|| <|"), ("us|er", "<")],
+        9: [("user", "q")] + [("assistant" if i % 2 else "user", f"turn {i}") for i in range(2000)],
+        10: [("user", "long " * 200_000), ("assistant", "é" * 300_000)],
+        11: [("user", "long " * 200_000), ("assistant", "")],
     }
     rows = [(i, t, a, b, i) for i, turns in talks.items() for t, (a, b) in enumerate(turns)] + [(None, 0, "user", "lost", 0), (7, 0, None, None, 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chosen_id long")
     got = {r.chosen_id if r.chosen_id is not None else r.rejected_id: r for r in preference.format_pairs(df, preference.neighbour_pairs(df)).collect()}
-    assert sorted(got) == [0, 2, 4, 7]
-    for i in (0, 2, 4):
+    assert sorted(got) == [0, 2, 4, 7, 8, 10]
+    for i in (0, 2, 4, 8, 10):
         r, want = got[i], brute_pair(talks[i], talks.get(i + 1, []))
         assert (r.n_prompt_turns, r.prompt, r.chosen, r.rejected, [tuple(x) for x in r.chosen_mask], [tuple(x) for x in r.rejected_mask]) == want
-        assert [r.chosen[a:b] for a, b in r.chosen_mask] == [b for a, b in talks[i][r.n_prompt_turns :] if a == "assistant"]
+        assert [r.chosen[a:b].replace("<||", "<|") for a, b in r.chosen_mask] == [b for a, b in talks[i][r.n_prompt_turns :] if a == "assistant"]
     assert got[7].rejected == "<|unknown|>\n\n" and got[7].chosen_id is None
     assert preference.format_pairs(df.limit(0), preference.neighbour_pairs(df.limit(0))).count() == 0
 
@@ -264,10 +269,14 @@ SECRETS = [
     "password=" + "0123456789abcdef" * 2,
     "passwd  :  ok+/_.=-",
     " ".join(("a%05d" % i) * (1 + i % 6) + " token=abc%d" % i for i in range(1500)),
+    "日本 " * 30_000 + "token=abcdefg " + "é" * 5000 + " secret:123456" + " x" * 100_000,
+    "a" * 4096 + "b" * 4096 + "g" * 4096 + "token=" + "c" * 9000,
 ]
 
 
-def test_secrets(spark):
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_secrets(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", broadcast)
     texts = [*AWKWARD, *SECRETS]
     df = docs_table(spark, texts).union(docs_table(spark, [SECRETS[0], SECRETS[6]], [None, 3]))
     rows = secrets.find_secrets(df).select("*", secrets.redact(F.col("text"), F.col("secrets")).alias("red")).collect()
@@ -284,6 +293,14 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs_table(spark, [])).count() == 0
 
 
+def test_secrets_with_an_index_and_clashing_columns(spark):
+    df = docs_table(spark, SECRETS).withColumns({c: F.lit("mine") for c in ("id", "_id", "flag0", "FLAG1", "at")})
+    index = secrets.postings(df, secrets.grams_of(secrets.RULES)).persist()
+    assert {r.gram for r in index.where("doc_id = 1").collect()} >= {"sec", "tok", "ken"} and not {"aki"} & {r.gram for r in index.where("doc_id = 1").collect()}
+    for r in secrets.find_secrets(df, index=index).collect():
+        assert [tuple(s) for s in r.secrets] == brute_secrets(r.text) and r["id"] == r._id == r.flag0 == r.FLAG1 == r["at"] == "mine"
+
+
 def test_trigram_queries():
     assert trigrams.query("[0-9a-f]+") == [] and trigrams.query("a?b*") == []
     assert trigrams.query("abcd") == [frozenset({frozenset({"abc", "bcd"})})]
