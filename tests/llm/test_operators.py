@@ -507,6 +507,81 @@ def test_every_run_of_an_alignment_is_judged(spark):
     assert got == {(1, 1): 12, (2, 1): 12, (4, 1): 18}
 
 
+def brute_leaks(text, items):
+    """Template runs and slots by plain loops over every pair of positions."""
+    units = set(decontamination._UNITS.split("|"))
+
+    def words(t):
+        out = []
+        for m in re.finditer(r"\d+(?:[.,]\d+)*|[^\W\d_]+", t):
+            w, after_number = m[0], out and out[-1][0] == "N" and t[last:m.start()] in ("", " ")
+            last = m.end()
+            kind = "N" if w[0].isdigit() else "U" if after_number and w.lower() in units else "A" if len(w) > 1 and w[0].isupper() and w[1:].islower() else w.lower()
+            out.append((kind, w))
+        return out
+
+    doc, found = words(text), {}
+    for item_id, item in items:
+        ws = words(item)
+        n, literal = len(ws), lambda k: k not in ("N", "U", "A")
+        if n <= 4 or not any(literal(k) for k, _ in ws) or sum(literal(k) or k == "A" for k, _ in ws) < 4:
+            lines = [" ".join(w.lower() for _, w in words(s)) for s in re.split(r"[.!?;:\n\r]+(?!\d)", text)]
+            if ws and " ".join(w.lower() for _, w in ws) in lines:
+                found[item_id] = n
+            continue
+        for shift in range(-n, len(doc)):
+            run = []
+            for j in range(n + 1):
+                ok = j < n and 0 <= shift + j < len(doc) and doc[shift + j][0] == ws[j][0]
+                if ok:
+                    run.append((ws[j], doc[shift + j]))
+                    continue
+                pairs = {(a[1], b[1]) for a, b in run if not literal(a[0])}
+                telling = sum(literal(a[0]) or (a[0] == "A" and a[1] == b[1]) for a, b in run)
+                if len(run) >= min(12, n - 1) and telling >= 4 and len(pairs) == len({a for a, _ in pairs}):
+                    found[item_id] = max(found.get(item_id, 0), len(run))
+                run = []
+    return found
+
+
+def test_templates_against_brute_force(spark):
+    r = np.random.default_rng(12)
+    names, units = ["Alice", "Bob", "Carol", "Dave", "Erin"], ["kg", "km", "hours", "cents"]
+
+    def sentence(n):
+        out = [str(r.choice(names)) if r.random() < 0.5 else "The"]
+        while len(out) < n:
+            x = r.random()
+            out += [str(r.integers(2, 30)), str(r.choice(units))] if x < 0.15 else [str(r.choice(names))] if x < 0.25 else [str(r.choice(VOCAB))]
+        return " ".join(out) + "."
+
+    def again(t):
+        """The same question with other values, one for one."""
+        other = dict(zip(names, r.permutation([*names, "Frank", "Grace"]))) | {str(i): str(i + 40) for i in range(50)}
+        return re.sub(r"\w+", lambda m: other.get(m[0], m[0]), t)
+
+    items = [" ".join(sentence(int(n)) for n in r.integers(4, 14, int(r.integers(1, 4)))) for _ in range(40)] + ["Why?", "12 kg.", "so it is", "Bob, Carol, Dave, Erin, Alice"]
+    texts = []
+    for i in range(120):
+        item = items[i % len(items)]
+        copy = [item, again(item), " ".join(item.split()[1:]), item.replace("Alice", "Henry", 1), item.lower()][i % 5]
+        texts.append(f"{prose(int(r.integers(5, 40)), 700 + i)}. {copy} {sentence(9)} {prose(int(r.integers(0, 30)), 900 + i)}")
+    texts += ["Well. Why? So it is", "why not. so it is not", "It weighs 12 kg. Yes", "It weighs. 12 kg", "bob carol dave erin alice"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {}
+    for x in decontamination.find_leaks(docs_table(spark, texts), bench).collect():
+        got.setdefault(x.doc_id, {})[x.item_id] = x.words
+    want = {i: f for i, t in enumerate(texts) if (f := brute_leaks(t, list(enumerate(items))))}
+    assert got == want and len(want) > 90
+
+
+def test_leaks_in_long_texts(spark):
+    item = prose(30, 950)
+    texts = [" ".join([prose(20_000, 951), item, prose(20_000, 952)]), "x" * 3_000_000 + " " + item, " ".join(["7"] * 100_000) + " " + item]
+    got = {r.doc_id for r in decontamination.find_leaks(docs_table(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {0, 1, 2}
+
+
 # toxicity
 
 
