@@ -4,7 +4,8 @@ Byte trigrams are counted by language over all training documents. Each
 document is then taken as a mixture of the learned languages: expectation
 maximisation estimates the proportions from its trigram likelihoods, and of
 the nested sets of likeliest languages the one with the best penalised
-likelihood stands. The prediction is the largest part of that set.
+likelihood stands; sets grow as long as some text is the better for it. The
+prediction is the largest part of that set.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
 from quireflow.llm import words as W
+from quireflow.llm.names import free
 
 BINS = 1 << 14
 _STRETCH = 1 << 20
 #: The model has BINS floats a language; more languages than this are refused, so it stays within 32 MB.
 MOST_LANGUAGES = 500
+#: Columns that predict() adds.
+PREDICTED = ("lang_pred", "score", "n_langs", "fit")
 
 
 def _trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +82,15 @@ class Mixture:
         self.p = np.ascontiguousarray((smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32)) if names else np.zeros((BINS, 0), np.float32)
         self.prior = docs / max(docs.sum(), 1)
 
-    def infer(self, data: np.ndarray, offs: np.ndarray, rounds: int = 10, largest_set: int = 4, penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each document: the main language's index, its proportion, the size of the language set."""
+    def infer(self, data: np.ndarray, offs: np.ndarray, rounds: int = 10, penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each document: the main language's index, its proportion, the size of the language set, and the log-likelihood a trigram above that of evenly spread ones."""
         docs, k = len(offs) - 1, len(self.names)
         best, share, size = np.full(docs, int(np.argmax(self.prior)) if k else -1), np.full(docs, self.prior.max() if k else 0.0), np.ones(docs, np.int64)
+        fit = np.zeros(docs)
         cells = _cells(data, offs, np.arange(docs), docs) if k else np.zeros(0, np.int64)
         at = np.flatnonzero(cells)
         if not len(at):
-            return best, share, size
+            return best, share, size, fit
         n = cells[at].astype(np.float32)
         row = at // BINS
         has, head = np.unique(row, return_index=True)
@@ -107,18 +112,22 @@ class Mixture:
         order = np.argsort(-pi, axis=1, kind="stable")
         one = np.add.reduceat(n[:, None] * np.log(p), head, axis=0)
         top = one.argmax(axis=1)
-        value = one.max(axis=1) - 0.5 * penalty * np.log(total + 1)
+        likely = one.max(axis=1)
+        value = likely - 0.5 * penalty * np.log(total + 1)
         chosen, part, used = top, np.ones(len(has), np.float32), np.ones(len(has), np.int64)
-        for m in range(2, min(k, largest_set) + 1):
+        for m in range(2, k + 1):
             kept = np.zeros_like(pi)
             np.put_along_axis(kept, order[:, :m], np.maximum(np.take_along_axis(pi, order[:, :m], axis=1), 1e-6), axis=1)
             kept = refine(kept / kept.sum(axis=1, keepdims=True), 3)
-            now = likelihood(kept) - 0.5 * penalty * (2 * m - 1) * np.log(total + 1)  # m languages and m - 1 free proportions
+            raw = likelihood(kept)
+            now = raw - 0.5 * penalty * (2 * m - 1) * np.log(total + 1)  # m languages and m - 1 free proportions
             better = now > value
-            value = np.where(better, now, value)
+            if not better.any():
+                break
+            likely, value = np.where(better, raw, likely), np.where(better, now, value)
             chosen, part, used = np.where(better, kept.argmax(axis=1), chosen), np.where(better, kept.max(axis=1), part), np.where(better, m, used)
-        best[has], share[has], size[has] = chosen, np.clip(part, 0, 1), used
-        return best, share, size
+        best[has], share[has], size[has], fit[has] = chosen, np.clip(part, 0, 1), used, likely / total + np.log(BINS)
+        return best, share, size, fit
 
 
 def fit(docs: DataFrame, lang: str = "lang") -> Mixture:
@@ -137,20 +146,23 @@ def fit(docs: DataFrame, lang: str = "lang") -> Mixture:
 
 
 def predict(docs: DataFrame, model: Mixture) -> DataFrame:
-    """All columns of ``docs`` and lang_pred, score, n_langs, from the text alone; columns so named are replaced.
+    """All columns of ``docs`` and lang_pred, score, n_langs, fit, from the text alone; columns so named are replaced.
 
     ``und`` with score 0 where the text is null or holds no letter, or where
     nothing was learned; texts of under three bytes get the commonest
-    language and its share. Repeated rows and null ids are rows like others.
+    language and its share. ``fit`` is how much likelier a trigram of the text
+    is (in logs) than one drawn evenly; below 0 the text is in no language
+    learned. Repeated rows and null ids are rows like others.
     """
-    docs = docs.drop("lang_pred", "score", "n_langs")
+    docs = docs.drop(*PREDICTED)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept, text = docs.columns, F.col("text").cast("string")
+    letters_, text_ = free(kept, "letters", "as_text")
     # the text goes along once, unless it has to be cast to be read
-    extra = [F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_q_letters")]
+    extra = [F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(letters_)]
     place = kept.index("text")
     if dict(docs.dtypes)["text"] != "string":
-        extra, place = [*extra, text.alias("_q_text")], len(kept) + 1
+        extra, place = [*extra, text.alias(text_)], len(kept) + 1
 
     def run(batches):
         mixture = shared.value
@@ -159,13 +171,13 @@ def predict(docs: DataFrame, model: Mixture) -> DataFrame:
             for lo, hi in W.slices(column, 1 << 20):
                 for a in range(lo, hi, 256):
                     b = min(hi, a + 256)
-                    best, share, size = mixture.infer(*W.utf8(column.slice(a, b - a)))
+                    best, share, size, fit = mixture.infer(*W.utf8(column.slice(a, b - a)))
                     letters = has.slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool) & (len(mixture.names) > 0)
                     names = [mixture.names[i] if ok else "und" for i, ok in zip(best.tolist(), letters.tolist())]
-                    new = [pa.array(names, pa.string()), pa.array(np.where(letters, share, 0.0).astype(float)), pa.array(np.where(letters, size, 0).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[: len(kept)]], *new], names=[*kept, "lang_pred", "score", "n_langs"])
+                    new = [pa.array(names, pa.string()), pa.array(np.where(letters, share, 0.0).astype(float)), pa.array(np.where(letters, size, 0).astype(np.int32)), pa.array(np.where(letters, fit, 0.0))]
+                    yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[: len(kept)]], *new], names=[*kept, *PREDICTED])
 
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("n_langs", IntegerType())
+    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("n_langs", IntegerType()).add("fit", DoubleType())
     return docs.select("*", *extra).mapInArrow(run, schema)
 
 

@@ -152,7 +152,7 @@ def _pack(size: int, group_rows: int):
                 w, off = best_fit_decreasing(t.column("length").to_numpy()[lo:hi], size)
                 # a group's windows: the group above, 2^24 windows of a chunk below
                 base = (np.int64(group[a]) << 32) + ((lo - a) // group_rows << 24)
-                out = t.slice(lo, hi - lo).drop_columns(["_q_group", "_q_tie"])
+                out = t.slice(lo, hi - lo).drop_columns(["_q_tie", "_q_group"])
                 out = out.append_column("sequence_id", pa.array(base + w)).append_column("offset", pa.array(off))
                 yield from out.to_batches()
 
@@ -183,14 +183,16 @@ def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 8192) -> DataFra
 
     A full piece is a sequence of its own; the others are packed best-fit
     decreasing within groups of about ``group_rows`` pieces, dealt by a hash
-    of what the piece is, so that copies spread like other rows. An empty
-    table gives an empty one.
+    of what the piece is and of where its row lies, so that copies and rows
+    that repeat spread like others. ``pieces`` must give the same rows in the
+    same order each time (a written table does). An empty table gives an
+    empty one.
     """
     rest = pieces.where(F.col("length") < size)
     groups = max(1, -(-rest.count() // group_rows))
     names = pieces.columns
-    key = F.xxhash64("doc_id", "start", "ids_crc32")
-    rest = rest.withColumn("_q_group", F.pmod(key, F.lit(groups))).withColumn("_q_tie", key).repartition(min(groups, 4096), "_q_group").sortWithinPartitions("_q_group", "_q_tie", "doc_id")
+    key = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
+    rest = rest.withColumn("_q_tie", key).withColumn("_q_group", F.pmod("_q_tie", F.lit(groups))).repartition(min(groups, 4096), "_q_group").sortWithinPartitions("_q_group", "_q_tie", "doc_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
     packed = rest.mapInArrow(_pack(size, 4 * group_rows), schema)
     whole = pieces.where(F.col("length") == size).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

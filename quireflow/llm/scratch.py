@@ -2,8 +2,9 @@
 
 Iterative operators cut their lineage by writing a Parquet table below
 ``spark.checkpoint.dir`` and reading it back, so a lost executor never costs
-more than one round. Only where that setting is unset (tests) a folder of
-this process is used.
+more than one round. Where that setting is unset, a session in one process
+(tests) gets a folder of its own, and any other is refused: its executors
+could not read what one of them writes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="quireflow-"))
     return _own[0]

@@ -10,24 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm import decontamination, language_id, minhash_dedup, packing, secrets
-
-#: A document is rejected if no language makes up at least this share of it.
-LEAST_SHARE = 0.3
+from quireflow.llm.names import free
+from quireflow.llm.scratch import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in some learned language; texts that are null or hold no letter, and even mixtures of many languages, go."""
+    """Keeps documents in learned languages, mixed or not; texts that are null, hold no letter or fit no mixture better than noise does, go."""
     model = language_id.fit(docs.where(~language_id.fold(4, 2)))
-    told = language_id.predict(docs, model)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    # the documents' own columns of such names are no predictions
+    mine = [c for c in docs.columns if c.lower() in language_id.PREDICTED]
+    aside = free([*docs.columns, *language_id.PREDICTED], *(f"own_{c}" for c in mine))
+    told = language_id.predict(docs.withColumnsRenamed(dict(zip(mine, aside))), model).where((F.col("lang_pred") != "und") & (F.col("fit") >= 0))
+    return told.drop(*language_id.PREDICTED).withColumnsRenamed(dict(zip(aside, mine))).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each near-duplicate group (5-word shingles, similarity 0.8); rows without an id stay."""
-    found = minhash_dedup.components(docs, width=5, percent=80)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_q_id")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_q_id"], "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """Keeps one row of each near-duplicate group (5-word shingles, similarity 0.8), that of the smallest doc_id; rows without an id stay.
+
+    Of rows that repeat an id, which are one document, the one with the
+    smallest values stays.
+    """
+    scratch = Scratch(spark, "stage", docs)
+    found = scratch.keep(minhash_dedup.components(docs, width=5, percent=80).select("doc_id", "component_id"))
+    (id_,) = free(docs.columns, "id")
+    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias("rows"))
+    again = scratch.keep(first.where("rows > 1").select(id_))
+    kept = docs.join(first.where("rows = 1").select(id_), F.col("doc_id") == F.col(id_), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    if again.isEmpty():
+        return kept
+    whole = docs.join(again, F.col("doc_id") == F.col(id_), "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"))
+    return kept.unionByName(whole.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,8 +33,8 @@ ONCE, MORE = 1.0, 0.75
 WINDOW = 8
 #: A single word's log ratio counts for so much at most.
 MOST = 60.0
-#: The classifier is fitted on at most about so many labelled documents a class, so the model broadcast is bounded.
-SAMPLE = 20_000
+#: The classifier is fitted on at most about so many labelled documents a class, and so many bytes of them, so the model broadcast is bounded.
+SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 _START, _END = 1, 2
 _U = np.uint64
 
@@ -124,8 +124,16 @@ class Models:
 
     def _find(self, key: np.ndarray) -> np.ndarray:
         """The entry of each key, or the last entry, which is neutral."""
-        at = _slot(key, len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at, len(self.keys) - 1)
+        slots = len(self.keys) - 1
+        out, todo = np.full(len(key), slots), np.flatnonzero(key)
+        at = _slot(key[todo], slots)
+        while len(todo):  # on from slot to slot until the key or an empty one
+            there = self.keys[at]
+            hit = there == key[todo]
+            out[todo[hit]] = at[hit]
+            on = ~hit & (there != 0)
+            todo, at = todo[on], (at[on] + 1) & (slots - 1)
+        return out
 
     def word_ratios(self, data: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log P(toxic) - log P(ordinary) of each word."""
@@ -206,11 +214,19 @@ def _build(counted: pa.Table) -> Models:
         else:
             lower = p[find((body[own] & _U((1 << 8 * (k - 1)) - 1)) | (_U(k - 1) << _U(56)))]
         p[own] = mass + left[context] * lower
-    slots = 1 << max(10, int(4 * len(key)).bit_length())
-    table, ratio, rest = np.zeros(slots + 1, _U), np.zeros(slots + 1, np.float32), np.zeros(slots + 1, np.float32)
-    at = _slot(key, slots)
-    rank = np.argsort(n.sum(axis=1), kind="stable")  # of two n-grams in a slot the commoner stays, the other backs off
-    table[at[rank]], ratio[at[rank]], rest[at[rank]] = key[rank], np.log(p[rank, 1] / p[rank, 0]), np.log(left[rank, 1] / left[rank, 0])
+    slots = 1 << max(10, int(2 * len(key)).bit_length())
+    table, place = np.zeros(slots + 1, _U), np.zeros(len(key), np.int64)
+    todo, at = np.arange(len(key)), _slot(key, slots)
+    while len(todo):
+        empty = table[at] == 0
+        got, one = np.unique(at[empty], return_index=True)  # of several keys for a free slot the first takes it
+        won = np.flatnonzero(empty)[one]
+        table[got], place[todo[won]] = key[todo[won]], got
+        lost = np.ones(len(todo), bool)
+        lost[won] = False
+        todo, at = todo[lost], (at[lost] + 1) & (slots - 1)
+    ratio, rest = np.zeros(slots + 1, np.float32), np.zeros(slots + 1, np.float32)
+    ratio[place], rest[place] = np.log(p[:, 1] / p[:, 0]), np.log(left[:, 1] / left[:, 0])
     return Models(table, ratio, rest, np.array([0.0, 0.0, 1.0]))
 
 
@@ -232,24 +248,25 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b / spread
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Models:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Models:
     """Learns from ``docs`` whose id has a label in ``labels`` (doc_id, toxic).
 
     Class counts and the logistic curve come from at most about ``sample``
-    documents a class, chosen by a hash of the id; the shared counts come from
-    the different words of every document. Null labels are ignored; of several
-    labels of an id the largest counts; labels without a document and empty
-    tables simply teach nothing.
+    documents and ``sample_bytes`` bytes a class, chosen by a hash of the id;
+    the shared counts come from the different words of every document. Null
+    labels are ignored; of several labels of an id the largest counts; labels
+    without a document and empty tables simply teach nothing.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity", docs)
-    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    per = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
+    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_q_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    sizes = docs.select("doc_id", F.octet_length(F.col("text").cast("string")).cast("long").alias("size"))
+    per = marked.join(sizes, F.col("doc_id") == F.col("_q_id")).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()  # one row a class
+    draw = F.pmod(F.xxhash64("_q_id", F.lit(9)), F.lit(1_000_000))
     keep = F.lit(False)
-    for c, n in per.items():
-        keep = keep | ((F.col("toxic") == c) & (draw < round(1_000_000 * min(1.0, sample / n))))
-    chosen = marked.where(keep).select(F.col("doc_id").alias("_q_id"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(5)) == 0).alias("apart"))
+    for r in per:
+        keep = keep | ((F.col("toxic") == r["toxic"]) & (draw < round(1_000_000 * min(1.0, sample / r["n"], sample_bytes / max(r["size"] or 1, 1)))))
+    chosen = marked.where(keep).select("_q_id", "toxic", (F.pmod(F.xxhash64("_q_id", F.lit(10)), F.lit(5)) == 0).alias("apart"))
     chosen = F.broadcast(scratch.keep(chosen))  # at most about 2 * sample rows
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     taught = text.join(chosen, F.col("doc_id") == F.col("_q_id"), "left")

@@ -24,7 +24,7 @@ def docs_table(spark, texts, ids=None, parts=3):
     return spark.createDataFrame(rows, DOCS).repartition(parts) if rows else spark.createDataFrame([], DOCS)
 
 
-LONG = prose(5000, 1)
+LONG = prose(60_000, 1)
 AWKWARD = [None, "", "   \n", "one", "a b c", "a  b\tc", LONG, LONG, prose(60, 2), "x " * 300, "Zażółć ÄÖÜ é 日本 " + prose(30, 3), "!!!", prose(60, 2) + " tail"]
 
 
@@ -442,6 +442,56 @@ def test_language_mixtures(spark):
     assert language_id.predict(df, empty).where("lang_pred <> 'und'").count() == 0 and language_id.predict(df.limit(0), model).count() == 0
 
 
+def plain_mixture(p, cells, rounds=10, penalty=2.0):
+    """One text's mixture by plain loops: {bin: count} and p[bin][language] -> main language, proportion, size of the set."""
+    k, total = len(next(iter(p.values()))), sum(cells.values())
+
+    def refine(pi, times):
+        for _ in range(times):
+            new = [0.0] * k
+            for b, n in cells.items():
+                whole = max(sum(p[b][i] * pi[i] for i in range(k)), 1e-30)
+                for i in range(k):
+                    new[i] += n * p[b][i] * pi[i] / whole
+            pi = [x / total for x in new]
+        return pi
+
+    pi = refine([1 / k] * k, rounds)
+    order = sorted(range(k), key=lambda i: -pi[i])
+    one = [sum(n * math.log(p[b][i]) for b, n in cells.items()) for i in range(k)]
+    best = (max(one) - 0.5 * penalty * math.log(total + 1), one.index(max(one)), 1.0, 1)
+    for m in range(2, k + 1):
+        kept = [max(pi[i], 1e-6) if i in order[:m] else 0.0 for i in range(k)]
+        kept = refine([x / sum(kept) for x in kept], 3)
+        value = sum(n * math.log(sum(p[b][i] * kept[i] for i in range(k))) for b, n in cells.items()) - 0.5 * penalty * (2 * m - 1) * math.log(total + 1)
+        if value <= best[0]:
+            break
+        best = (value, kept.index(max(kept)), max(kept), m)
+    return best[1:]
+
+
+def test_mixtures_against_plain_loops():
+    r = np.random.default_rng(8)
+    alphabets = ["abcdefg ", "efghijk ", "klmnop  ", "pqrsté ", "uvwxyz "]
+    text = lambda i, n: "".join(r.choice(list(alphabets[i]), n))
+    names, counts = list("vwxyz"), np.zeros((5, language_id.BINS))
+    for i in range(5):
+        data, offs = words.utf8(pa.array([text(i, 4000)]))
+        counts[i] = language_id._cells(data, offs, np.zeros(1, np.int64), 1)
+    model = language_id.Mixture(names, counts, np.ones(5))
+    texts = [text(i, 200) for i in range(5)] + [text(i, 150) + text(j, 90) for i, j in itertools.permutations(range(5), 2)] + ["".join(text(i, 120) for i in range(5)), "abc", text(0, 400) + text(2, 300) + text(4, 200)]
+    data, offs = words.utf8(pa.array(texts))
+    best, share, size, fit = model.infer(data, offs)
+    for i, t in enumerate(texts):
+        one = words.utf8(pa.array([t]))
+        cells = language_id._cells(*one, np.zeros(1, np.int64), 1)
+        at = np.flatnonzero(cells)
+        want = plain_mixture({int(b): [float(x) for x in model.p[b]] for b in at}, {int(b): int(cells[b]) for b in at})
+        assert (best[i], size[i]) == (want[0], want[2]) and abs(share[i] - want[1]) < 1e-3
+    assert size[len(texts) - 3] == 5 and (fit > 0).all()  # no bound on the set
+    assert model.infer(*words.utf8(pa.array(["日本語" * 50])))[3][0] < 0
+
+
 def test_long_texts_are_counted_in_stretches(monkeypatch):
     data, offs = words.utf8(pa.array([LONG + "é" * 99]))
     whole = language_id._cells(data, offs, np.zeros(1, np.int64), 1)
@@ -605,6 +655,78 @@ def test_toxicity(spark):
     assert all(x.score < 0.5 for x in toxicity.score(docs, nothing).collect()) and toxicity.score(docs.limit(0), models).count() == 0
 
 
+def plain_ratios(counted, text):
+    """log P(toxic) / P(ordinary) of one word from n-gram counts {bytes: (n0, n1, types)} by plain recursion."""
+    body = bytes([1]) + text + bytes([2])
+
+    def context(g, c):
+        return counted.get(g[:-1], (0, 0, 0))[c]
+
+    def mass(g, c):
+        n = counted[g][c]
+        return max(n - (0.75 if n > 1 else 1.0), 0) / max(context(g, c), 1)
+
+    def left(ctx, c):
+        followers = [g for g in counted if len(g) == len(ctx) + 1 and g[:-1] == ctx]
+        return min(max(1 - sum(mass(g, c) for g in followers), 1e-4), 1.0) if followers else 1.0
+
+    def log_ratio(g):
+        if len(g) == 1:
+            return 0.0
+        if g not in counted:
+            return math.log(left(g[:-1], 1) / left(g[:-1], 0)) + log_ratio(g[1:])
+        return math.log(p(g, 1) / p(g, 0))
+
+    def p(g, c):
+        if len(g) == 2:
+            lower = (counted[g][2] + 0.5) / (counted[g[:1]][2] + 128)
+        else:
+            lower = p(g[1:], c)
+        return mass(g, c) + left(g[:-1], c) * lower
+
+    # a byte's history is as long as the order allows
+    return sum(log_ratio(body[max(0, i + 1 - toxicity.ORDER) : i + 1]) for i in range(1, len(body)))
+
+
+def test_word_models_against_plain_recursion():
+    r = np.random.default_rng(4)
+    taught = sorted({"".join(r.choice(list("abcde"), int(r.integers(1, 9)))) for _ in range(60)})
+    n0, n1 = r.integers(0, 5, len(taught)), r.integers(0, 3, len(taught))
+    batch = pa.RecordBatch.from_arrays([pa.array([w.encode() for w in taught], pa.binary()), pa.array(n0), pa.array(n1)], names=["word", "n0", "n1"])
+    rows = {}
+    for out in toxicity._count([batch]):
+        for key, a, b, t in zip(*(c.to_pylist() for c in out.columns)):
+            x = rows.setdefault(key, [0, 0, 0])
+            rows[key] = [x[0] + a, x[1] + b, x[2] + t]
+    rows = {k: v for k, v in rows.items() if v[0] > 1 or v[1] > 1 or v[2] > 0}
+    table = pa.table({"key": list(rows), **{c: [v[i] for v in rows.values()] for i, c in enumerate(("n0", "n1", "types"))}})
+    models = toxicity._build(table)
+    assert (models._find(table.column("key").to_numpy().view(np.uint64)) < len(models.keys) - 1).all()  # none is lost
+    unsigned = {k & (1 << 64) - 1: v for k, v in rows.items()}
+    counted = {(k & (1 << 56) - 1).to_bytes(k >> 56, "big"): tuple(v) for k, v in unsigned.items()}
+    asked = [*taught, *("".join(r.choice(list("abcdefx"), int(r.integers(1, 10)))) for _ in range(60))]
+    got = models.word_ratios(np.frombuffer("".join(asked).encode(), np.uint8), np.array([len(w) for w in asked]))
+    for w, x in zip(asked, got.tolist()):
+        assert abs(x - plain_ratios(counted, w.encode())) < 1e-4, w
+
+
+def test_no_ngram_is_lost_to_another():
+    keys = np.unique(np.random.default_rng(1).integers(1, 1 << 62, 50_000).astype(np.uint64) & np.uint64((1 << 40) - 1) | np.uint64(5 << 56))
+    one = np.ones(len(keys), np.int64)
+    models = toxicity._build(pa.table({"key": keys.view(np.int64), "n0": 2 * one, "n1": 3 * one, "types": 0 * one}))
+    at = models._find(keys)
+    assert len(set(at.tolist())) == len(keys) and (models.keys[at] == keys).all()
+    assert (models._find(np.array([0, 7], np.uint64)) == len(models.keys) - 1).all()
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    text = lambda seed: " ".join("".join(np.random.default_rng(seed * 50 + j).choice(list("abcdefghijklmnop"), 8)) for j in range(50))
+    docs = docs_table(spark, [text(i // 8) for i in range(300)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    few, many = (toxicity.fit(docs, labels, sample_bytes=n) for n in (20_000, 1 << 30))
+    assert (few.keys > 0).sum() < (many.keys > 0).sum()
+
+
 # packing
 
 
@@ -640,6 +762,17 @@ def test_packing(spark):
     assert packing.pack_documents(docs_table(spark, []), tokenizer()).count() == 0
 
 
+def test_rows_that_repeat_are_packed_in_many_groups(spark, monkeypatch):
+    sizes = []
+    inner = packing.best_fit_decreasing
+    monkeypatch.setattr(packing, "best_fit_decreasing", lambda lengths, size: sizes.append(len(lengths)) or inner(lengths, size))
+    rows = [(None, 0, 1, 7, 1)] * 4000
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long").repartition(3).persist()
+    out = packing.pack(pieces, size=64, group_rows=100).collect()
+    assert len(out) == 4000 and len({r.sequence_id >> 32 for r in out}) > 30
+    assert len({(r.sequence_id, r.offset) for r in out}) == 4000
+
+
 def test_best_fit_decreasing_against_a_plain_search():
     r = np.random.default_rng(2)
     lengths = r.integers(1, 100, 500)
