@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -82,16 +82,37 @@ def read_cached(cache: PageCache, entry, offset: int, length: int, size: int, pa
 def simulate(accesses: DataFrame, by: str, order: str, entry: str, page: str, total: int, page_bytes: int, cache_bytes: int, ahead: int = 0) -> DataFrame:
     """hits, misses, resident and resident_bytes of each session's accesses replayed in order.
 
-    The order decides, so a session is one group; sessions run in parallel.
+    Sessions lie side by side in sorted partitions and are replayed one after
+    another in one pass; of a session no more than its cache is held.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cache = PageCache(cache_bytes)
-        for e, p in pdf.sort_values(order)[[entry, page]].itertuples(index=False):
-            if cache.get((e, p)) is None:
-                for q in fill_run(cache, e, p, total, ahead):
-                    cache.insert((e, q), b"", page_bytes)
-        return pd.DataFrame([{by: pdf[by].iloc[0], "hits": cache.hits, "misses": cache.misses, "resident": len(cache), "resident_bytes": cache.bytes}])
-
     kind = dict(accesses.dtypes)[by]
-    return accesses.select(by, order, entry, page).groupBy(by).applyInPandas(run, f"{by} {kind}, hits bigint, misses bigint, resident bigint, resident_bytes bigint")
+    schema = f"{by} {kind}, hits bigint, misses bigint, resident bigint, resident_bytes bigint"
+    rows = accesses.select(by, order, entry, page).repartition(by).sortWithinPartitions(by, order, entry, page)
+
+    def run(batches):
+        out: list[tuple] = []
+        cache, key, began, field = None, None, False, None
+
+        def done() -> pa.RecordBatch:
+            keys, *rest = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(keys, field), *(pa.array(x, pa.int64()) for x in rest)], names=[by, "hits", "misses", "resident", "resident_bytes"])
+
+        for batch in batches:
+            field = batch.schema.field(0).type
+            for k, e, p in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if not began or k != key:
+                    if began:
+                        out.append((key, cache.hits, cache.misses, len(cache), cache.bytes))
+                    cache, key, began = PageCache(cache_bytes), k, True
+                if cache.get((e, p)) is None:
+                    for q in fill_run(cache, e, p, total, ahead):
+                        cache.insert((e, q), b"", page_bytes)
+            if len(out) > 4096:
+                yield done()
+                out = []
+        if began:
+            out.append((key, cache.hits, cache.misses, len(cache), cache.bytes))
+        if out:
+            yield done()
+
+    return rows.mapInArrow(run, schema)

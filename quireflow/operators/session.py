@@ -7,15 +7,17 @@ earlier ones; then one archive's log is folded in order, archives in parallel.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quireflow import schemas
-from quireflow.functions.geometry import PAGE_SIZE
+from quireflow.functions.geometry import PAGE_SIZE, touched
 
 
 class EntryError(ValueError):
@@ -26,25 +28,47 @@ class EntryError(ValueError):
         self.status = status
 
 
-@dataclass
+@dataclass(eq=False)
 class Dirty:
     """An edited entry: its size now, and how far its source's bytes still count."""
 
+    name: str
     logical: int
     source_size: int
     pages: dict[int, list] = field(default_factory=dict)  # page -> [stamp, bytes of a full page]
-    spilled: dict[int, bytes] = field(default_factory=dict)  # page -> bytes below the logical size
+    spilled: dict[int, tuple] = field(default_factory=dict)  # page -> (where the second tier has it, how many of its bytes count)
+
+
+class MemoryTier:
+    """A second tier that is none: pages stay where they are."""
+
+    def put(self, name: str, page: int, data: bytes):
+        """Takes a page's bytes below the entry's size, and says where they are."""
+        return data
+
+    def get(self, place) -> bytes:
+        return place
 
 
 class Session:
-    """The state of one archive under edit. ``sizes`` has the entries of the archive and whether their codec is known."""
+    """The state of one archive under edit.
+
+    ``sizes`` has the entries of the archive and whether their codec is known,
+    ``source`` gives bytes of an entry as (name, offset, length). With a
+    ``limit`` no more than so many bytes of pages are held; the pages first
+    inserted go to ``tier``.
+    """
+
+    def __init__(self, sizes: dict[str, tuple[int, bool]], page_size: int = PAGE_SIZE, limit: int | None = None, source: Callable[[str, int, int], bytes] = lambda name, offset, length: b"", tier=None) -> None:
+        self.sizes, self.page_size, self.limit, self.source, self.tier = sizes, page_size, limit, source, tier or MemoryTier()
+        self.reset()
 
-    def __init__(self, sizes: dict[str, tuple[int, bool]], page_size: int = PAGE_SIZE, limit: int | None = None, source: Callable[[str], bytes] = lambda name: b"") -> None:
-        self.sizes, self.page_size, self.limit, self.source = sizes, page_size, limit, source
+    def reset(self) -> None:
+        """As after opening: no edit is left."""
         self.overlay: dict[str, tuple[str, str | None]] = {}
         self.dirty: dict[str, Dirty] = {}
-        self.stamp = 0
-        self.journal: list[dict] = []
+        self.stamp = self.held = 0
+        self._order: deque = deque()
 
     # names
 
@@ -85,19 +109,20 @@ class Session:
     def _touch(self, name: str) -> Dirty:
         if name not in self.dirty:
             base = self.original(name)
-            self.dirty[name] = Dirty(base, base)
+            self.dirty[name] = Dirty(name, base, base)
         return self.dirty[name]
 
     def create(self, name: str) -> None:
         if self.kind(name) != "Absent":
             raise EntryError("Exists", name)
         self.overlay[name] = ("Created", None)
-        self.dirty[name] = Dirty(0, 0)
+        self.dirty[name] = Dirty(name, 0, 0)
 
     def remove(self, name: str) -> None:
         self._need(name)
         self.overlay[name] = ("Tombstone", None)
-        self.dirty.pop(name, None)
+        if name in self.dirty:
+            self._forget(self.dirty.pop(name), lambda page: False)
 
     def rename(self, old: str, new: str) -> None:
         """The new name inherits what the old one is: created stays created, anything else points at its archive entry."""
@@ -109,6 +134,7 @@ class Session:
         self.overlay[old] = ("Tombstone", None)
         if old in self.dirty:
             self.dirty[new] = self.dirty.pop(old)
+            self.dirty[new].name = new
 
     def truncate(self, name: str, size: int) -> None:
         """Shrinking drops pages, zeroes the boundary page's tail and lowers the source's high-water mark; growing reads as zeros."""
@@ -117,15 +143,20 @@ class Session:
         if size < d.logical:
             d.source_size = min(d.source_size, size)
             keep = -(-size // self.page_size)
-            d.pages = {p: v for p, v in d.pages.items() if p < keep}
-            d.spilled = {p: v for p, v in d.spilled.items() if p < keep}
+            self._forget(d, lambda page: page < keep)
             at = size - (keep - 1) * self.page_size
             if keep - 1 in d.pages:
                 d.pages[keep - 1][1][at:] = bytes(self.page_size - at)
             if keep - 1 in d.spilled:
-                d.spilled[keep - 1] = d.spilled[keep - 1][:at]
+                place, counts = d.spilled[keep - 1]
+                d.spilled[keep - 1] = (place, min(counts, at))
         d.logical = size
 
+    def _forget(self, d: Dirty, keeps: Callable[[int], bool]) -> None:
+        kept = {p: v for p, v in d.pages.items() if keeps(p)}
+        self.held -= len(d.pages) - len(kept)
+        d.pages, d.spilled = kept, {p: v for p, v in d.spilled.items() if keeps(p)}
+
     def write(self, name: str, offset: int, data: bytes) -> None:
         if not data:
             return
@@ -136,44 +167,47 @@ class Session:
         for p in range(offset // ps, (end - 1) // ps + 1):
             lo, hi = max(offset, p * ps), min(end, (p + 1) * ps)
             piece = data[lo - offset : hi - offset]
-            if p in d.spilled and p not in d.pages:
-                # a page in the journal gets a newer record there, it doesn't come back
-                page = bytearray(d.spilled[p].ljust(ps, b"\0"))
+            if p in d.spilled:
+                # a page in the second tier gets a newer record there, it doesn't come back
+                page = bytearray(self.page(name, p))
                 page[lo - p * ps : hi - p * ps] = piece
-                d.spilled[p] = self._record(name, p, bytes(page), d.logical)
+                self._put(d, p, page)
                 continue
             if p not in d.pages:
                 d.pages[p] = [self.stamp, bytearray(self._source_page(name, d, p))]
-                self.stamp += 1
+                self._order.append((self.stamp, d, p))
+                self.stamp, self.held = self.stamp + 1, self.held + 1
             d.pages[p][1][lo - p * ps : hi - p * ps] = piece
-        self._spill()
+            self._spill()
 
-    def _record(self, name: str, page: int, data: bytes, logical: int) -> bytes:
-        data = data[: max(0, min(self.page_size, logical - page * self.page_size))]
-        self.journal.append({"entry": name, "page_index": page, "data": data})
-        return data
+    def _put(self, d: Dirty, page: int, data: bytes) -> None:
+        data = bytes(data[: max(0, min(self.page_size, d.logical - page * self.page_size))])
+        d.spilled[page] = (self.tier.put(d.name, page, data), len(data))
 
     def _spill(self) -> None:
-        """While more is held than the limit, the pages first inserted go to the journal."""
-        if self.limit is None:
-            return
-        held = sorted((v[0], n, p) for n, d in self.dirty.items() for p, v in d.pages.items())
-        over = len(held) - self.limit // self.page_size
-        for _, n, p in held[: max(0, over)]:
-            d = self.dirty[n]
-            d.spilled[p] = self._record(n, p, bytes(d.pages.pop(p)[1]), d.logical)
+        """While more is held than the limit, the pages first inserted go to the second tier."""
+        while self.limit is not None and self.held > self.limit // self.page_size:
+            stamp, d, p = self._order.popleft()
+            if p in d.pages and d.pages[p][0] == stamp:
+                self._put(d, p, d.pages.pop(p)[1])
+                self.held -= 1
+
+    def indexed_pages(self) -> list[tuple[str, int]]:
+        """Which pages the second tier holds."""
+        return sorted((d.name, p) for d in self.dirty.values() for p in d.spilled)
 
     def _source_page(self, name: str, d: Dirty, page: int) -> bytes:
         at, source = page * self.page_size, self.source_of(name)
         n = max(0, min(self.page_size, d.source_size - at))
-        return (self.source(source)[at : at + n] if source and n else b"").ljust(self.page_size, b"\0")
+        return (self.source(source, at, n) if source and n else b"").ljust(self.page_size, b"\0")
 
     def page(self, name: str, page: int) -> bytes:
         d = self.dirty[name]
         if page in d.pages:
             return bytes(d.pages[page][1])
         if page in d.spilled:
-            return d.spilled[page].ljust(self.page_size, b"\0")
+            place, counts = d.spilled[page]
+            return self.tier.get(place)[:counts].ljust(self.page_size, b"\0")
         return self._source_page(name, d, page)
 
     def read(self, name: str, offset: int, length: int) -> bytes:
@@ -183,16 +217,54 @@ class Session:
         if name not in self.dirty and name not in self.overlay:
             if offset + length > size:
                 raise EntryError("OutOfRange", name)
-            return self.source(name)[offset : offset + length]
+            return self.source(name, offset, length)
         end = min(offset + length, size)
         if end <= offset:
             return b""
-        d = self.dirty.get(name) or Dirty(size, size)
+        d = self.dirty.get(name) or Dirty(name, size, size)
         held = self.dirty.get(name)
         out = b"".join(self.page(name, p) if held else self._source_page(name, d, p) for p in range(offset // ps, (end - 1) // ps + 1))
         at = offset - offset // ps * ps
         return out[at : at + end - offset]
 
+    def summary(self) -> Iterator[dict]:
+        """Operations and pages that lead from no edit to this state, as journal rows: names first, then sizes, then pages.
+
+        Names move in an order in which each is free when it is taken; where
+        they change places in a ring, one steps aside under a name of its own.
+        Pages are read one at a time.
+        """
+        twin = Session(self.sizes, self.page_size)
+
+        def op(what: str, entry: str, new_size: int | None = None, new_name: str | None = None) -> dict:
+            twin.apply(what, entry, new_size=new_size or 0, new_name=new_name or "")
+            return {"kind": "META", "op": what, "entry": entry, "new_size": new_size, "new_name": new_name}
+
+        moves = {source: name for name, (kind, source) in self.overlay.items() if kind == "Aliased"}
+        for name in self.overlay:
+            if name in self.sizes and name not in moves:
+                yield op("REMOVE", name)
+        while moves:
+            free = [s for s, name in moves.items() if twin.kind(name) == "Absent"]
+            for s in free:
+                yield op("RENAME", s, new_name=moves.pop(s))
+            if not free:
+                s = aside = next(iter(moves))
+                while aside in self.sizes or aside in self.overlay or twin.kind(aside) != "Absent":
+                    aside += "~"
+                yield op("RENAME", s, new_name=aside)
+                moves[aside] = moves.pop(s)
+        for name, (kind, _) in self.overlay.items():
+            if kind == "Created":
+                yield op("CREATE", name)
+        for name, d in self.dirty.items():
+            if d.source_size < twin.original(name):
+                yield op("RESIZE", name, new_size=d.source_size)
+            if d.logical != twin.size(name) or not (name in twin.dirty or d.pages or d.spilled):
+                yield op("RESIZE", name, new_size=d.logical)
+            for p in sorted({*d.pages, *d.spilled}):
+                yield {"kind": "DATA", "entry": name, "page_index": p, "data": self.page(name, p)[: max(0, min(self.page_size, d.logical - p * self.page_size))]}
+
     def content(self, name: str) -> bytes:
         n = self.size(name)
         return b"" if not n else self.read(name, 0, n)
@@ -213,6 +285,19 @@ class Session:
 
 
 _RESULT = "archive_id string, what string, name string, kind string, source string, logical_size bigint, source_size bigint, page_index bigint, stamp bigint, tier int, data binary, sequence bigint"
+#: Rows of a result batch.
+_ROWS = 4096
+
+
+def _result_rows(s: Session) -> Iterator[dict]:
+    for n, (k, src) in s.overlay.items():
+        yield {"what": "overlay", "name": n, "kind": k, "source": src}
+    for n, d in s.dirty.items():
+        yield {"what": "entry", "name": n, "logical_size": d.logical, "source_size": d.source_size}
+        for p, v in d.pages.items():
+            yield {"what": "page", "name": n, "page_index": p, "stamp": v[0], "tier": 1, "data": bytes(v[1])}
+        for p, (place, counts) in d.spilled.items():
+            yield {"what": "page", "name": n, "page_index": p, "tier": 2, "data": s.tier.get(place)[:counts]}
 
 
 def replay(ops: DataFrame, entries: DataFrame, page_size: int = PAGE_SIZE, limit: int | None = None) -> DataFrame:
@@ -220,31 +305,65 @@ def replay(ops: DataFrame, entries: DataFrame, page_size: int = PAGE_SIZE, limit
 
     Rows of four sorts, by ``what``: overlay, entry (sizes), page (tier 1 in
     memory, 2 in the journal) and refused (an operation that failed, its
-    status in ``kind``). Ties of the sequence keep a fixed order. One archive
-    is one group with its contents; archives run in parallel.
+    status in ``kind``). Ties of the sequence keep a fixed order. Archives
+    without operations are left out before anything moves, and of contents
+    only pages go along that some write of the archive touches. Archives are
+    folded one after another in one pass over sorted rows; the largest need is
+    one archive's names and dirty pages.
     """
-    names = [c.split()[0] for c in _RESULT.split(", ")]
-
-    def run(key, log: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        content = dict(zip(base["name"], base["content"]))
-        known = {n: (len(c) if c is not None else 0, c is not None) for n, c in content.items()}
-        s = Session(known, page_size, limit, lambda n: content.get(n) or b"")
-        rows = []
-        for r in log.sort_values(["sequence", "op", "entry"], kind="stable").itertuples():
-            try:
-                number = lambda x: 0 if x is None or x != x else int(x)
-                s.apply(r.op, r.entry, number(r.offset), r.data or b"", number(r.new_size), r.new_name or "")
-            except EntryError as e:
-                rows.append({"what": "refused", "name": r.entry, "kind": e.status, "sequence": r.sequence})
-        rows += [{"what": "overlay", "name": n, "kind": k, "source": src} for n, (k, src) in s.overlay.items()]
-        for n, d in s.dirty.items():
-            rows.append({"what": "entry", "name": n, "logical_size": d.logical, "source_size": d.source_size})
-            rows += [{"what": "page", "name": n, "page_index": p, "stamp": v[0], "tier": 1, "data": bytes(v[1])} for p, v in d.pages.items()]
-            rows += [{"what": "page", "name": n, "page_index": p, "tier": 2, "data": v} for p, v in d.spilled.items()]
-        out = pd.DataFrame(rows, columns=names, dtype=object)
-        out["archive_id"] = key[0]
-        return out
-
-    left = ops.select(*[c.split()[0] for c in schemas.OPS.split(", ")]).groupBy("archive_id")
-    right = entries.select("archive_id", "name", F.col("content").cast("binary").alias("content")).groupBy("archive_id")
-    return left.cogroup(right).applyInPandas(run, _RESULT)
+    ops = ops.select(*[c.split()[0] for c in schemas.OPS.split(", ")])
+    entries = entries.select("archive_id", "name", F.col("content").cast("binary").alias("content"))
+    entries = entries.join(ops.select("archive_id").distinct(), "archive_id", "left_semi")
+    none = {c: F.lit(None).cast(t) for c, t in (x.split() for x in schemas.OPS.split(", "))}
+    size = F.octet_length("content").cast("long")
+
+    def part(step: int, df: DataFrame, **own) -> DataFrame:
+        return df.select(F.lit(step).alias("step"), *[own.get(c, v).alias(c) for c, v in none.items()])
+
+    name = {"archive_id": F.col("archive_id"), "entry": F.col("name")}
+    known = part(0, entries, **name, new_size=size)
+    write = (F.col("op") == "WRITE") & (F.octet_length("data") > 0) & (F.col("offset") >= 0)
+    wanted = ops.where(write).select("archive_id", F.explode(touched("offset", F.octet_length("data"), page_size)).alias("page")).distinct()
+    pages = entries.where(size > 0).select("archive_id", "name", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / page_size).cast("long"))).alias("page"))
+    pages = pages.select("archive_id", "name", "page", F.substring("content", (F.col("page") * page_size + 1).cast("int"), page_size).alias("piece")).join(wanted, ["archive_id", "page"], "left_semi")
+    contents = part(1, pages, **name, sequence=F.col("page"), data=F.col("piece"))
+    rows = known.union(contents).union(part(2, ops, **{c: F.col(c) for c in none}))
+    rows = rows.repartition("archive_id").sortWithinPartitions("archive_id", "step", "sequence", "op", "entry")
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(StructType.fromDDL(_RESULT))
+    fields = ["step", *none]
+
+    def folded(batches) -> Iterator[dict]:
+        key, s, began = None, None, False
+        for batch in batches:
+            for step, archive, sequence, op, entry, offset, data, new_size, new_name in zip(*(batch.column(c).to_pylist() for c in fields)):
+                if not began or archive != key:
+                    if began:
+                        yield from ({"archive_id": key} | r for r in _result_rows(s))
+                    key, began, held = archive, True, {}
+                    s = Session({}, page_size, limit, lambda n, at, k, held=held: held.get((n, at // page_size), b"")[:k])
+                if step == 0:
+                    s.sizes[entry] = (new_size or 0, new_size is not None)
+                elif step == 1:
+                    held[entry, sequence] = data
+                else:
+                    try:
+                        s.apply(op, entry, offset or 0, data or b"", new_size or 0, new_name or "")
+                    except EntryError as e:
+                        yield {"archive_id": key, "what": "refused", "name": entry, "kind": e.status, "sequence": sequence}
+        if began:
+            yield from ({"archive_id": key} | r for r in _result_rows(s))
+
+    def run(batches):
+        out = []
+        for row in folded(batches):
+            out.append(row)
+            if len(out) == _ROWS:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return rows.mapInArrow(run, _RESULT)

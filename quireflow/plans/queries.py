@@ -307,7 +307,7 @@ def deflate_round_trip(spark, sf_dir):
 
     p = _table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.encode("html", "UTF-8").alias("d"))
     n = F.octet_length("d").cast("long")
-    return p.select("page_id", (deflate.decode(F.lit(8), deflate.deflate("d"), n) == F.col("d")).alias("same"), n.alias("n"))
+    return p.select("page_id", (deflate.decoder()(F.lit(8), deflate.deflate("d"), n) == F.col("d")).alias("same"), n.alias("n"))
 
 
 @_query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'DropJournal' WHEN doc_id % 6 = 1 THEN 'Keep' WHEN doc_id % 6 = 2 THEN 'Truncate' ELSE 'Leave' END AS action FROM documents""")

@@ -248,9 +248,9 @@ def register(spark: SparkSession) -> None:
 
 def with_content(entries: DataFrame) -> DataFrame:
     """Adds ``content``, decoded; null where the codec is unknown or the data corrupt."""
-    from quireflow.functions.deflate import decode
+    from quireflow.functions.deflate import decoder
 
-    return entries.withColumn("content", decode(F.col("method_code"), F.col("payload"), F.col("uncompressed_size")))
+    return entries.withColumn("content", decoder()(F.col("method_code"), F.col("payload"), F.col("uncompressed_size")))
 
 
 def archive_image(entries: list[tuple[str, int, bytes]]) -> bytes:

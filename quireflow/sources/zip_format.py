@@ -66,13 +66,22 @@ class Directory:
         return {"file_size": self.file_size, "live_bytes": live, "bloat_bytes": max(0, self.file_size - live), "bloat_ratio": self.file_size / live if live else 1.0}
 
 
-def find_end(data: bytes) -> int:
+def _field(layout: struct.Struct, data, at: int) -> tuple:
+    """One structure at an offset of ``data``, of which only slices are taken."""
+    raw = data[at : at + layout.size]
+    if len(raw) < layout.size:
+        raise ZipError("Truncated")
+    return layout.unpack(raw)
+
+
+def find_end(data) -> int:
     """Offset of the end record: the last whose comment reaches exactly to the end of the file."""
-    at = len(data)
-    lowest = max(0, len(data) - _EOCD.size - 0xFFFF)
-    while (at := data.rfind(b"PK\5\6", lowest, at + 3 if at < len(data) else at)) >= 0:
-        if at + _EOCD.size <= len(data) and at + _EOCD.size + struct.unpack_from("<H", data, at + 20)[0] == len(data):
-            return at
+    base = max(0, len(data) - _EOCD.size - 0xFFFF)
+    tail = bytes(data[base:])
+    at = len(tail)
+    while (at := tail.rfind(b"PK\5\6", 0, at + 3 if at < len(tail) else at)) >= 0:
+        if at + _EOCD.size <= len(tail) and at + _EOCD.size + struct.unpack_from("<H", tail, at + 20)[0] == len(tail):
+            return base + at
     raise ZipError("EocdNotFound")
 
 
@@ -99,32 +108,32 @@ def _zip64(extra: bytes, values: list[int], sentinels: list[bool]) -> list[int]:
 def read_directory(data: bytes) -> Directory:
     """All rows of the central directory, in its order."""
     end = find_end(data)
-    _, disk, cd_disk, here, total, size, offset, _ = _EOCD.unpack_from(data, end)
+    _, disk, cd_disk, here, total, size, offset, _ = _field(_EOCD, data, end)
     if 0xFFFF in (disk, cd_disk, here, total) or MAX_32 in (size, offset):
         at = end - _ZIP64_LOCATOR.size
         if at < 0 or data[at : at + 4] != b"PK\6\7":
             raise ZipError("Zip64LocatorNotFound")
-        at = _ZIP64_LOCATOR.unpack_from(data, at)[2]
+        at = _field(_ZIP64_LOCATOR, data, at)[2]
         if at + _ZIP64_EOCD.size > len(data) or data[at : at + 4] != b"PK\6\6":
             raise ZipError("Truncated")
-        total, size, offset = _ZIP64_EOCD.unpack_from(data, at)[7:10]
+        total, size, offset = _field(_ZIP64_EOCD, data, at)[7:10]
     elif disk or cd_disk or here != total:
         raise ZipError("MultiDisk")
     if offset + size > len(data):
         raise ZipError("Truncated")
-    entries, at = [], offset
+    entries, at, block = [], 0, bytes(data[offset : offset + size])
     for i in range(total):
-        if at + _CD.size > offset + size:
+        if at + _CD.size > size:
             raise ZipError("Truncated")
-        magic, _, _, flags, method, _, _, crc, packed, plain, n, m, k, _, _, _, lho = _CD.unpack_from(data, at)
+        magic, _, _, flags, method, _, _, crc, packed, plain, n, m, k, _, _, _, lho = _CD.unpack_from(block, at)
         if magic != b"PK\1\2":
             raise ZipError("BadCdSignature")
         stop = at + _CD.size + n + m + k
-        if stop > offset + size:
+        if stop > size:
             raise ZipError("Truncated")
-        extra = data[at + _CD.size + n : at + _CD.size + n + m]
+        extra = block[at + _CD.size + n : at + _CD.size + n + m]
         plain, packed, lho = _zip64(extra, [plain, packed, lho], [plain == MAX_32, packed == MAX_32, lho == MAX_32])
-        entries.append(Entry(i, data[at + _CD.size : at + _CD.size + n], method, flags, crc, packed, plain, lho, data[at:stop]))
+        entries.append(Entry(i, block[at + _CD.size : at + _CD.size + n], method, flags, crc, packed, plain, lho, block[at:stop]))
         at = stop
     return Directory(entries, offset, size, len(data))
 
@@ -132,11 +141,12 @@ def read_directory(data: bytes) -> Directory:
 def data_offset(data: bytes, entry: Entry) -> int:
     """Where the entry's data starts: its local header decides, whose extra field may differ from the directory's."""
     at = entry.local_header_offset
-    if at + _LFH.size > len(data):
+    head = bytes(data[at : at + _LFH.size])
+    if len(head) < _LFH.size:
         raise ZipError("Truncated")
-    if data[at : at + 4] != b"PK\3\4":
+    if head[:4] != b"PK\3\4":
         raise ZipError("BadLfhSignature")
-    n, m = struct.unpack_from("<HH", data, at + 26)
+    n, m = struct.unpack_from("<HH", head, 26)
     return at + _LFH.size + n + m
 
 

@@ -167,4 +167,69 @@ def test_ranges_and_resume_points():
         D.store_range(b"abc", 0, 1, 3, [(0, 0)])
     with pytest.raises(D.UnsupportedMethod):
         D.read_range(93, b"", 0, 0, 0)
-    assert D.nearest_point([(1, 10), (2, 10)], 10) in ((1, 10), (2, 10)) and D.nearest_point([], 5) == (0, 0)
+    two = [C.Checkpoint(10, 1), C.Checkpoint(10, 2)]
+    assert D.nearest_point(two, 10) is two[1] and D.nearest_point(two, 9) is None and D.nearest_point([], 5) is None
+
+
+def test_leads_are_empty_and_fill_a_byte_up_to_every_place():
+    assert sorted(D._LEAD) == list(range(8))
+    for bits, lead in D._LEAD.items():
+        assert len(lead) % 8 == bits
+        d = zlib.decompressobj(-15)
+        assert d.decompress(D._packed(lead + "110" + "0000000")) == b"" and d.eof
+
+
+@pytest.mark.parametrize("level", [1, 6, 9])
+def test_checkpoints_of_foreign_streams(level):
+    data = sample_data(300_000)
+    c = zlib.compressobj(level, zlib.DEFLATED, -15)
+    packed = c.compress(data) + c.flush()
+    points = D.build_checkpoints(packed, len(data), 8192)
+    assert len(points) > 5 and any(p.bits for p in points) and all(len(p.window) == 32768 for p in points)
+    assert all(b.uncompressed_offset - a.uncompressed_offset >= 8192 for a, b in zip(points, points[1:]))
+    for at in (0, 5000, 33000, 100000, 200001, 299000):
+        n = min(1000, len(data) - at)
+        assert D.inflate_range(packed, at, n, len(data), points) == data[at : at + n]
+        for p in points:  # whichever checkpoint before it is taken
+            if p.uncompressed_offset <= at:
+                assert D.inflate_range(packed, at, n, len(data), [p]) == data[at : at + n]
+    # nothing before a checkpoint is read when decoding resumes there
+    p = points[-1]
+    blank = bytes(p.compressed_offset - 1) + packed[p.compressed_offset - 1 :]
+    assert D.inflate_range(blank, p.uncompressed_offset, 100, len(data), points) == data[p.uncompressed_offset :][:100]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 40_000), st.integers(0, 99)), min_size=1, max_size=6), st.integers(1, 9), st.sampled_from([zlib.Z_DEFAULT_STRATEGY, zlib.Z_HUFFMAN_ONLY, zlib.Z_FIXED]))
+def test_checkpoints_of_any_stream(parts, level, strategy):
+    import random
+
+    data = b"".join([bytes([seed]) * n, random.Random(seed).randbytes(n), sample_data(n), b" ".join(str(i * seed).encode() for i in range(n // 8))][kind] for kind, n, seed in parts)
+    c = zlib.compressobj(level, zlib.DEFLATED, -15, 8, strategy)
+    packed = c.compress(data) + c.flush()
+    for p in D.build_checkpoints(packed, len(data), 4096):
+        assert D.inflate_range(packed, p.uncompressed_offset, len(data) - p.uncompressed_offset, len(data), [p]) == data[p.uncompressed_offset :]
+
+
+def test_streams_that_do_not_decode_give_no_checkpoints():
+    data = sample_data(50_000)
+    packed = zlib.compress(data)[2:-4]
+    with pytest.raises(D.CorruptData):
+        D.build_checkpoints(packed, len(data) - 1)
+    with pytest.raises(D.CorruptData):
+        D.build_checkpoints(b"\xff" + packed, len(data))
+    assert D.build_checkpoints(packed, 0) == [] and D.build_checkpoints(b"", 5) == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 511, 512, 513, 2000, 5000])
+def test_crc32c_of_any_length(n):
+    from quireflow.functions.hashing import crc32c_of
+
+    data = bytes((i * 37 + i // 7) % 256 for i in range(n))
+    c = 0xFFFFFFFF
+    for b in data:
+        c ^= b
+        for _ in range(8):
+            c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+    assert crc32c_of(data) == c ^ 0xFFFFFFFF
+    assert crc32c_of(b"123456789") == 0xE3069283

@@ -17,7 +17,7 @@ from test_formats import make_zip
 
 def session(content=None, **options):
     content = {"a.bin": b"0123456789abcdef"} if content is None else content
-    return Session({n: (len(c), True) for n, c in content.items()}, source=lambda n: content[n], **options)
+    return Session({n: (len(c), True) for n, c in content.items()}, source=lambda n, at, k: content[n][at : at + k], **options)
 
 
 def test_write_read_and_zero_fill():
@@ -171,9 +171,12 @@ def test_stale_is_sticky(archive):
     m = Mount(archive)
     assert m.read("a.bin", 0, 3) == b"ORI"
     os.utime(archive, ns=(1, 1))
+    assert m.read("a.bin", 0, 3) == b"ORI"  # cached: only a miss looks at the file
     with pytest.raises(Conflict, match="stale"):
-        m.read("a.bin", 0, 3)
+        m.read("keep.bin", 0, 3)
     assert m.stale
+    with pytest.raises(Conflict, match="stale"):
+        m.read("a.bin", 0, 3)
     with pytest.raises(Conflict):
         m.write("a.bin", 0, b"x")
 
@@ -286,3 +289,150 @@ def test_memory_mount():
 def test_index_header_can_be_refreshed():
     h = C.IndexHeader(source_file_size=1).refreshed(5, 6, 7)
     assert (h.source_file_size, h.source_inode, h.source_mtime_ns) == (5, 6, 7) and C.IndexHeader.decode(h.encode()) == h
+
+
+# reads, tiers and the journal as a summary
+
+
+def sample(n, seed=0x9E3779B9):
+    out = bytearray(n)
+    for i in range(n):
+        seed = (seed * 1664525 + 1013904223) & 0xFFFFFFFF
+        out[i] = (seed >> 24 & 0x1F) ^ (i & 7)
+    return bytes(out)
+
+
+@pytest.fixture
+def mixed(tmp_path):
+    path, big = str(tmp_path / "mixed.zip"), sample(180_000)
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("notes.txt", b"hello, stored world", zipfile.ZIP_STORED)
+        z.writestr("big.bin", big, zipfile.ZIP_DEFLATED)
+    return path, big
+
+
+def test_one_byte_makes_nine_pages_resident(mixed):
+    path, big = mixed
+    m = Mount(path, interval=16 << 10)
+    assert m.index.entry(m.index.lookup("big.bin")[0]).checkpoint_count > 3
+    assert m.read("big.bin", 100_000, 1) == big[100_000:100_001]
+    assert (len(m.cache), m.cache.misses) == (9, 1)
+    assert m.read("big.bin", 100_000, 20_000) == big[100_000:120_000] and m.cache.misses == 1
+    assert m.read("notes.txt", 7, 6) == b"stored"
+    with pytest.raises(EntryError, match="OutOfRange"):
+        m.read("big.bin", 179_999, 2)
+    again = Mount(path)  # checkpoints come from the index file
+    assert not again.rebuilt and all(again.read("big.bin", at, 777) == big[at : at + 777] for at in (0, 5000, 33000, 100000, 170001))
+
+
+def test_reads_decode_from_the_nearest_checkpoint(mixed, monkeypatch):
+    from quireflow.plans import reader
+
+    path, big = mixed
+    m, seen = Mount(path, interval=16 << 10, read_ahead=0, cache_bytes=4096), []
+    plain = reader.read_range
+    monkeypatch.setattr(reader, "read_range", lambda method, data, offset, length, size, points: seen.append((offset, [p.uncompressed_offset for p in points])) or plain(method, data, offset, length, size, points))
+    for at in range(0, 180_000, 12_345):
+        assert m.read("big.bin", at, 10) == big[at : at + 10]
+    assert sum(offset - (points[0] if points else 0) for offset, points in seen) < len(seen) * (64 << 10) and sum(bool(p) for _, p in seen) > 10
+
+
+def test_a_miss_looks_at_the_file_and_may_be_refused(mixed):
+    path, big = mixed
+    m = Mount(path, read_ahead=0, estale_interval=2)
+    m.read("big.bin", 0, 10)
+    os.utime(path, ns=(1, 1))
+    assert m.read("big.bin", 5, 10) == big[5:15]  # in the cache: nothing is looked at
+    with pytest.raises(Conflict, match="stale"):
+        m.read("big.bin", 50_000, 10)
+    with pytest.raises(Conflict, match="stale"):  # and so for good
+        m.read("big.bin", 0, 10)
+
+    def refuse():
+        raise PermissionError
+
+    with pytest.raises(PermissionError):
+        Mount(path).read("big.bin", 0, 1, on_miss=refuse)
+
+
+def test_spilled_pages_leave_memory(mixed):
+    path, big = mixed
+    m = Mount(path, page_size=512, dirty_limit=4 * 512)
+    want = bytearray(big)
+    for i in range(200):
+        at = i * 797 % 170_000
+        m.write("big.bin", at, b"%06d" % i)
+        want[at : at + 6] = b"%06d" % i
+        held = sum(len(v[1]) for d in m.session.dirty.values() for v in d.pages.values())
+        assert held <= 4 * 512 and m.session.held * 512 == held
+    assert len(m.session.indexed_pages()) > 150 and all(isinstance(place, tuple) for place, _ in m.session.dirty["big.bin"].spilled.values())
+    assert m.read("big.bin", 0, len(big)) == want
+    m.rename("big.bin", "moved.bin")
+    m.truncate("moved.bin", 100_100)
+    m.truncate("moved.bin", 100_200)
+    want = want[:100_100] + bytes(100)
+    assert m.read("moved.bin", 0, 200_000) == want
+    size = os.path.getsize(m.journal_path)
+    for i in range(3):
+        for at in range(0, 100_000, 512):
+            m.write("moved.bin", at, b"again%d" % i)
+            want[at : at + 6] = b"again%d" % i
+    assert m.should_compact_journal()
+    m.compact_journal()
+    assert not m.should_compact_journal() and os.path.getsize(m.journal_path) < size * 3
+    assert m.read("moved.bin", 0, 200_000) == want
+    m.flush()
+    m.close()
+    again = Mount(path, page_size=512)
+    assert again.read("moved.bin", 0, 200_000) == want and again.commit() in ("Full", "Incremental")
+    assert zipfile.ZipFile(path).read("moved.bin") == want
+
+
+def test_a_short_journal_is_an_error_not_zeros(mixed):
+    m = Mount(mixed[0], page_size=512, dirty_limit=0)
+    m.write("big.bin", 0, b"x" * 512)
+    os.truncate(m.journal_path, 100)
+    with pytest.raises(OSError):
+        m.read("big.bin", 0, 1)
+
+
+def test_reset():
+    s = session()
+    s.write("a.bin", 0, b"zz")
+    s.rename("a.bin", "b")
+    s.reset()
+    assert not s.is_dirty() and s.names() == ["a.bin"] and s.content("a.bin") == b"0123456789abcdef"
+
+
+STEP = st.one_of(
+    st.tuples(st.just("WRITE"), st.sampled_from("abcd"), st.integers(0, 40), st.binary(max_size=12)),
+    st.tuples(st.sampled_from(["CREATE", "REMOVE"]), st.sampled_from("abcd")),
+    st.tuples(st.just("RESIZE"), st.sampled_from("abcd"), st.integers(0, 40)),
+    st.tuples(st.just("RENAME"), st.sampled_from("abcd"), st.sampled_from("abcd")),
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(STEP, max_size=25), st.sampled_from([None, 0, 16]))
+def test_a_summary_leads_to_the_same_state(steps, limit):
+    content = {"a": bytes(range(30)), "b": b"bbbbb", "c": b""}
+    s, twin = session(content, page_size=8, limit=limit), session(content, page_size=8)
+    for kind, name, *rest in steps:
+        try:
+            if kind == "WRITE":
+                s.write(name, *rest)
+            else:
+                s.apply(kind, name, new_size=rest[0] if kind == "RESIZE" else 0, new_name=rest[0] if kind == "RENAME" else "")
+        except EntryError:
+            pass
+    for r in s.summary():
+        if r["kind"] == "META":
+            twin.apply(r["op"], r["entry"], new_size=r["new_size"] or 0, new_name=r["new_name"] or "")
+        else:
+            twin.write(r["entry"], r["page_index"] * 8, r["data"])
+    assert sorted(twin.names()) == sorted(s.names())
+    for n in s.names():
+        assert (twin.kind(n), twin.source_of(n), twin.content(n)) == (s.kind(n), s.source_of(n), s.content(n))
+        assert (n in twin.dirty) == (n in s.dirty)
+        if n in s.dirty:
+            assert (twin.dirty[n].logical, twin.dirty[n].source_size) == (s.dirty[n].logical, s.dirty[n].source_size)
