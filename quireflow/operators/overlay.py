@@ -31,13 +31,25 @@ def resolve(names: DataFrame, overlay: DataFrame, index: DataFrame, by: list[str
     return out.withColumn("status", status).withColumn("original_size", F.when(F.col("kind") == "Created", F.lit(0)).otherwise(F.col("_size")).cast("long")).withColumnRenamed("_target", "source_name").drop("_o", "_source", "_in", "_size", "_provider")
 
 
+def edited(names: DataFrame, overlay: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``names`` that have a row in the overlay."""
+    keys = [*(by or []), "name"]
+    return names.join(overlay.select(*keys), keys, "left_semi")
+
+
+def unedited(names: DataFrame, overlay: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``names`` that have none."""
+    keys = [*(by or []), "name"]
+    return names.join(overlay.select(*keys), keys, "left_anti")
+
+
 def effective(index: DataFrame, overlay: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Every name that exists: (name, origin, source), origin Kept, Created or Aliased.
 
     A name created again after its entry was removed is Created; order is not part of the result.
     """
     keys = [*(by or []), "name"]
-    kept = index.join(overlay.select(*keys), keys, "left_anti").select(*keys, F.lit("Kept").alias("origin"), F.col("name").alias("source"))
+    kept = unedited(index, overlay, by).select(*keys, F.lit("Kept").alias("origin"), F.col("name").alias("source"))
     created = overlay.where(F.col("kind") == CREATED).select(*keys, F.lit("Created").alias("origin"), F.lit(None).cast("string").alias("source"))
     aliased = overlay.where(F.col("kind") == ALIASED).select(*keys, F.lit("Aliased").alias("origin"), F.col("source"))
     return kept.unionByName(created).unionByName(aliased)

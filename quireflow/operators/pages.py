@@ -46,8 +46,9 @@ def source_page(data: Column, start: Column, source_size: Column, page_size: int
 
 def assemble(pages: DataFrame, key: str) -> DataFrame:
     """(key, content): pages side by side in order. One entry is one row, as large as the entry."""
-    ordered = F.array_sort(F.collect_list(F.struct("page_index", "data")))
-    joined = F.aggregate(ordered, F.lit(b""), lambda acc, p: F.concat(acc, p["data"]))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_index", "data"))), lambda p: p["data"])
+    # hex digits are joined in one step where adding page to page would copy what came before each time
+    joined = F.unhex(F.array_join(F.transform(ordered, F.hex), ""))
     return pages.groupBy(key).agg(joined.alias("content"))
 
 

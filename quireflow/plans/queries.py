@@ -1,9 +1,9 @@
-"""The engine's operators over the driver's tables, each with its SQL.
+"""The engine's operators over the driver's tables, each with its SQL; those on bytes of the formats are in format_queries.
 
 A document is an entry and its UTF-8 bytes the uncompressed stream; an event
 is a log record of its user's session: event_id the sequence, props.k the
 page; click is a page write, view a read, signup CREATE, error REMOVE (or a
-RESIZE to k pages), purchase a commit marker. Labels are an overlay, pages of
+RESIZE to k pages), purchase a commit marker (or a RENAME). Labels are an overlay, pages of
 the web are entries by name, conversation turns are chained names.
 """
 
@@ -12,12 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quireflow import schemas
 from quireflow.functions import codes, geometry
-from quireflow.operators import cache, journal, layout, lookup, overlay, pages, policy
+from quireflow.operators import cache, journal, layout, lookup, overlay, pages, policy, session
 
 PS = 4096
 #: Pages a session may hold before it spills, in the spill query.
 RESIDENT = 8
+#: Width of the stretches of an archive's entries that one task lays out.
+STRIDE = 1 << 20
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,8 +133,23 @@ def _overlay(spark, sf_dir) -> DataFrame:
 
 @_query(f"""WITH {_OV} SELECT doc_id AS name, CASE ov.kind WHEN 'Tombstone' THEN 'Absent' WHEN 'Created' THEN 'Created' ELSE 'Source' END AS kind FROM documents LEFT JOIN ov ON ov.name = doc_id""")
 def entry_kind(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"))
-    return docs.join(_overlay(spark, sf_dir).withColumnRenamed("kind", "o"), "name", "left").select("name", overlay.kind(F.col("o"), F.lit(True)).alias("kind"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.octet_length("text").cast("long").alias("uncompressed_size"), F.lit("Deflate").alias("provider"))
+    return overlay.resolve(docs.select("name"), _overlay(spark, sf_dir), docs).select("name", "kind")
+
+
+@_query(f"""WITH {_OV}, ix AS (SELECT doc_id AS name, octet_length(encode(text)) AS n, CASE doc_id % 5 WHEN 0 THEN 'Store' WHEN 1 THEN 'Unsupported' ELSE 'Deflate' END AS provider FROM documents WHERE doc_id % 3 <> 0),
+al AS (SELECT name, kind, CASE WHEN kind = 'Aliased' THEN name + 1 END AS source FROM ov),
+r AS (SELECT d.doc_id AS name, CASE WHEN al.kind = 'Tombstone' THEN 'Absent' WHEN al.kind = 'Created' THEN 'Created' WHEN al.kind = 'Aliased' OR own.name IS NOT NULL THEN 'Source' ELSE 'Absent' END AS kind, coalesce(al.source, d.doc_id) AS target
+  FROM documents d LEFT JOIN al ON al.name = d.doc_id LEFT JOIN ix own ON own.name = d.doc_id)
+SELECT r.name, r.kind, CASE WHEN r.kind = 'Source' THEN target END AS source_name, CASE WHEN r.kind = 'Absent' OR r.kind = 'Source' AND s.name IS NULL THEN 'NotFound' WHEN r.kind = 'Source' AND s.provider = 'Unsupported' THEN 'Unsupported' ELSE 'Ok' END AS status,
+  CASE WHEN r.kind = 'Created' THEN 0 WHEN r.kind = 'Source' THEN s.n END AS original_size FROM r LEFT JOIN ix s ON r.kind = 'Source' AND s.name = r.target""")
+def overlay_resolve(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.octet_length("text").cast("long").alias("uncompressed_size"))
+    kind = F.when(F.col("name") % 5 == 0, "Store").when(F.col("name") % 5 == 1, "Unsupported").otherwise("Deflate")
+    index = docs.where("name % 3 <> 0").withColumn("provider", kind)
+    # an alias has the bytes of the entry after it
+    moved = _overlay(spark, sf_dir).withColumn("source", F.when(F.col("kind") == "Aliased", F.col("name") + 1))
+    return overlay.resolve(docs.select("name"), moved, index).select("name", "kind", "source_name", "status", "original_size")
 
 
 @_query(f"""WITH {_OV} SELECT doc_id AS name, 'Kept' AS origin FROM documents WHERE NOT EXISTS (SELECT 1 FROM ov WHERE ov.name = doc_id) UNION ALL SELECT name, kind FROM ov WHERE kind <> 'Tombstone'""")
@@ -141,12 +159,12 @@ def effective_set(spark, sf_dir):
 
 @_query("SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)")
 def dirty_semi(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id").join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return overlay.edited(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name")), _overlay(spark, sf_dir)).select(F.col("name").alias("doc_id"))
 
 
 @_query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)")
 def clean_anti(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id").join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return overlay.unedited(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name")), _overlay(spark, sf_dir)).select(F.col("name").alias("doc_id"))
 
 
 @_query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 1 WHEN page_id % 3 = 0 THEN 2 WHEN html IS NOT NULL THEN 3 ELSE 0 END AS tier,
@@ -215,11 +233,6 @@ def fingerprint_verdict(spark, sf_dir):
     return docs.join(live, "doc_id").select("doc_id", policy.fingerprint_verdict(F.col("h"), F.col("lh"), F.col("n") == F.col("ln"), F.lit(True)).alias("verdict"))
 
 
-@_query()
-def entry_crc32(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc32"))
-
-
 @_query("""SELECT event_id, CASE m WHEN 0 THEN 'Store' WHEN 8 THEN 'Deflate' WHEN 93 THEN 'Zstd' ELSE 'Unsupported' END AS provider, CASE m WHEN 0 THEN 0 WHEN 8 THEN 1 WHEN 93 THEN 3 ELSE 255 END AS code, CASE m WHEN 8 THEN 32785 WHEN 93 THEN 16 END AS record_size
 FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 8 WHEN 'view' THEN 0 WHEN 'purchase' THEN 93 ELSE 12 END AS m FROM events)""")
 def method_provider(spark, sf_dir):
@@ -230,15 +243,14 @@ def method_provider(spark, sf_dir):
 
 @_query("""SELECT source, doc_id, CAST(coalesce(sum(octet_length(encode(text)) + 30 + length(CAST(doc_id AS VARCHAR))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS local_header_offset FROM documents""")
 def cd_offsets(spark, sf_dir):
-    size = F.octet_length("text").cast("long") + 30 + F.length(F.col("doc_id").cast("string"))
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return _table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce(F.sum(size).over(w), F.lit(0).cast("long")).alias("local_header_offset"))
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("name"), F.octet_length("text").cast("long").alias("compressed_size"))
+    return layout.commit_layout(docs, ["source"], "doc_id", stride=STRIDE).select("source", "doc_id", "local_header_offset")
 
 
 @_query("""SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS entry_idx FROM documents""")
 def index_sorted(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    return _table(spark, sf_dir, "documents").select("source", "doc_id", (F.row_number().over(w) - 1).cast("long").alias("entry_idx"))
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("name"))
+    return layout.index_layout(docs, ["source"], F.md5("name")).select("source", "doc_id", "entry_idx")
 
 
 @_query(f"""WITH {_EV}, m AS (SELECT log, coalesce(max(CASE WHEN event_type = 'purchase' THEN sequence END), 0) AS s, count(*) FILTER (event_type IN ('click', 'signup', 'error')) AS n FROM ev GROUP BY log)
@@ -249,11 +261,15 @@ def recovery_decision(spark, sf_dir):
     return s.select("log", policy.recovery_decision(F.lit("Ok"), F.col("log") % 11 == 0, empty, F.col("last_commit_seq")).alias("decision"))
 
 
-@_query("""SELECT conv_id, turn, first_value(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS source_turn FROM (SELECT DISTINCT conv_id, turn FROM conversations)""")
+@_query("""WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL), m AS (SELECT conv_id, min(turn) AS lo, max(turn) AS hi FROM t GROUP BY conv_id HAVING count(*) > 1)
+SELECT CAST(conv_id AS VARCHAR) AS archive_id, CAST(turn AS VARCHAR) AS name, CASE WHEN turn = hi THEN 'Aliased' ELSE 'Tombstone' END AS kind, CASE WHEN turn = hi THEN CAST(lo AS VARCHAR) END AS source FROM t JOIN m USING (conv_id)""")
 def rename_chain_fold(spark, sf_dir):
-    # a conversation's turns are one name renamed again and again: every link folds to the first
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
-    return turns.join(turns.groupBy("conv_id").agg(F.min("turn").alias("source_turn")), "conv_id")
+    # a conversation's first turn is an entry that is renamed from turn to turn; each link is an operation of its own
+    turns = _table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL").select(F.col("conv_id").cast("string").alias("archive_id"), "turn").distinct()
+    following = F.lead("turn").over(Window.partitionBy("archive_id").orderBy("turn"))
+    ops = _ops(turns.withColumn("next", following).where("next IS NOT NULL"), op=F.lit("RENAME"), sequence=F.col("turn"), entry=F.col("turn").cast("string"), new_name=F.col("next").cast("string"))
+    base = turns.groupBy("archive_id").agg(F.min("turn").cast("string").alias("name")).withColumn("content", F.lit(b"x"))
+    return session.replay(ops, base).where("what = 'overlay'").select("archive_id", "name", "kind", "source")
 
 
 @_query("SELECT doc_id, md5(text) AS digest FROM documents WHERE octet_length(encode(text)) > 0")
@@ -281,26 +297,33 @@ def session_counters(spark, sf_dir):
     return each.select("log", "data_records", "dirty_bytes", "last_sequence", codes.advisory_size("n", "m").alias("advisory_size"), codes.chunk_length(F.lit("DeflateVmm"), "n").cast("long").alias("chunk_length"))
 
 
-@_query()
+_VIEWS = f"WITH {_EV}, v AS (SELECT log, sequence, k, row_number() OVER (PARTITION BY log ORDER BY sequence) AS i FROM ev WHERE event_type = 'view')"
+
+
+# a read is a hit if fewer than 8 other pages were read since the last time
+@_query(f"""{_VIEWS}, p AS (SELECT *, lag(i) OVER (PARTITION BY log, k ORDER BY i) AS prev FROM v),
+h AS (SELECT p.log, p.i, (SELECT count(DISTINCT w.k) FROM v w WHERE w.log = p.log AND w.i > p.prev AND w.i < p.i) AS between_ FROM p WHERE prev IS NOT NULL),
+n AS (SELECT log, count(*) AS total, least(8, count(DISTINCT k)) AS resident FROM v GROUP BY log), c AS (SELECT log, count(*) AS hits FROM h WHERE between_ < 8 GROUP BY log)
+SELECT n.log, coalesce(hits, 0) AS hits, total - coalesce(hits, 0) AS misses, resident, resident * {PS} AS resident_bytes FROM n LEFT JOIN c USING (log)""")
 def lru_cache_sim(spark, sf_dir):
     reads = _events(spark, sf_dir).where("event_type = 'view'")
     return cache.simulate(reads, "log", "sequence", "entry", "page_index", total=100, page_bytes=PS, cache_bytes=8 * PS)
 
 
-@_query()
+# held pages as a list, the one used last at its end
+@_query(f"""WITH RECURSIVE {_VIEWS[5:]}, r(log, i, held, hits) AS (
+SELECT DISTINCT log, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT) FROM v
+UNION ALL SELECT r.log, v.i,
+  CASE WHEN list_contains(held, k) THEN list_append(list_filter(held, lambda x: x <> k), k)
+       ELSE list_concat(held, range(k, coalesce(list_min(list_filter(range(k + 1, least(k + 9, 100)), lambda x: list_contains(held, x))), least(k + 9, 100))))[-64:] END,
+  hits + CASE WHEN list_contains(held, k) THEN 1 ELSE 0 END
+FROM r JOIN v ON v.log = r.log AND v.i = r.i + 1)
+SELECT log, hits, i - hits AS misses, CAST(len(held) AS BIGINT) AS resident, CAST(len(held) * {PS} AS BIGINT) AS resident_bytes FROM r QUALIFY row_number() OVER (PARTITION BY log ORDER BY i DESC) = 1""")
 def read_ahead_sim(spark, sf_dir):
     reads = _events(spark, sf_dir).where("event_type = 'view'")
     return cache.simulate(reads, "log", "sequence", "entry", "page_index", total=100, page_bytes=PS, cache_bytes=64 * PS, ahead=geometry.READ_AHEAD)
 
 
-@_query()
-def entry_hashes(spark, sf_dir):
-    from quireflow.functions import hashing
-
-    p = _table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("d"))
-    return p.select("page_id", hashing.name_hash("url").alias("name_hash"), F.hex(hashing.cd_hash("d")).alias("cd_hash"), hashing.crc32c("d").alias("crc32c"))
-
-
 @_query("SELECT page_id, true AS same, CAST(octet_length(encode(html)) AS BIGINT) AS n FROM pages WHERE html IS NOT NULL")
 def deflate_round_trip(spark, sf_dir):
     from quireflow.functions import deflate
@@ -317,16 +340,52 @@ def intent_recovery(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", policy.intent_action(F.when(r == 3, "FULL").otherwise("INCREMENTAL"), state, r <= 3).alias("action"))
 
 
+def _ops(rows: DataFrame, **own) -> DataFrame:
+    """Rows with an archive_id as schemas.OPS, what is not given null."""
+    return rows.select(*[own.get(c, F.col(c) if c == "archive_id" else F.lit(None).cast(t)).cast(t).alias(c) for c, t in (x.split() for x in schemas.OPS.split(", "))])
+
+
+def session_log(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Events as operations on two names of their user's document: e, which it is, and f, which it may be renamed to and from."""
+    e = _events(spark, sf_dir).where("log IS NOT NULL AND event_type <> 'view'").withColumn("archive_id", F.col("log").cast("string"))
+    odd = F.col("page_index") % 2 == 1
+    op = F.when(F.col("kind") == "DATA", "WRITE").when(F.col("event_type") == "signup", "CREATE").when(F.col("event_type") == "error", F.when(odd, "REMOVE").otherwise("RESIZE")).otherwise("RENAME")
+    entry = F.when((op != "RENAME") & (F.col("sequence") % 3 == 0) | (op == "RENAME") & odd, "f").otherwise("e")
+    ops = _ops(e, sequence=F.col("sequence"), op=op, entry=entry, offset=F.col("page_index") * 64 + 7, data=F.encode(F.concat_ws(":", "sequence", F.lit("abcdefgh" * 9)), "UTF-8"), new_size=F.col("page_index") * 64 + 5, new_name=F.when(entry == "e", "f").otherwise("e"))
+    base = _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("archive_id"), F.lit("e").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    return ops, base
+
+
 @_query()
 def session_replay(spark, sf_dir):
-    from quireflow.operators import session
+    ops, base = session_log(spark, sf_dir)
+    return session.replay(ops, base, page_size=64, limit=16 * 64).select("archive_id", "what", "name", "kind", "source", "logical_size", "source_size", "page_index", "stamp", "tier", F.md5("data").alias("digest"), "sequence")
+
+
+_LOG = f"WITH {_EV}, d AS (SELECT CAST(doc_id AS VARCHAR) AS archive_id, octet_length(encode(text)) AS n FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"
+
+
+@_query(f"""{_LOG}, t AS (SELECT CAST(log AS VARCHAR) AS archive_id, arg_max(k * 100, sequence) AS last, min(k * 100) AS least FROM ev WHERE event_type = 'error' GROUP BY log)
+SELECT archive_id, last AS logical_size, least(n, least) AS source_size FROM t JOIN d USING (archive_id)""")
+def truncate_sizes(spark, sf_dir):
+    """Resizes only: the last one gives the size, the smallest how far the source still counts."""
+    e = _events(spark, sf_dir).where("log IS NOT NULL AND event_type = 'error'").withColumn("archive_id", F.col("log").cast("string"))
+    ops = _ops(e, sequence=F.col("sequence"), op=F.lit("RESIZE"), entry=F.lit("e"), new_size=F.col("page_index") * 100)
+    _, base = session_log(spark, sf_dir)
+    return session.replay(ops, base.where("content IS NOT NULL")).where("what = 'entry'").select("archive_id", "logical_size", "source_size")
+
 
-    e = _events(spark, sf_dir).where("kind IN ('DATA', 'META')")
-    op = F.when(F.col("kind") == "DATA", "WRITE").when(F.col("event_type") == "signup", "CREATE").otherwise("RESIZE")
-    ops = e.select(F.col("log").cast("string").alias("archive_id"), "sequence", op.alias("op"), "entry", (F.col("page_index") * 64).alias("offset"), F.encode(F.col("value").cast("string"), "UTF-8").alias("data"), (F.col("page_index") * 64).alias("new_size"), F.lit(None).cast("string").alias("new_name"))
-    base = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("archive_id"), F.lit("e").alias("name"), F.encode("text", "UTF-8").alias("content"))
-    out = session.replay(ops, base, page_size=64, limit=16 * 64)
-    return out.groupBy("archive_id", "what").agg(F.count("*").alias("n"), F.max("logical_size").alias("logical_size"))
+@_query(f"""WITH {_EV}, o AS (SELECT CAST(log AS VARCHAR) AS archive_id, sequence, event_type = 'signup' AS makes, lag(event_type = 'signup', 1, false) OVER (PARTITION BY log ORDER BY sequence) AS there FROM ev WHERE event_type IN ('signup', 'error') AND log IS NOT NULL)
+SELECT archive_id, CASE arg_max(makes, sequence) WHEN true THEN 'Created' ELSE 'Tombstone' END AS kind, count(*) FILTER (makes AND there) AS exists_, count(*) FILTER (NOT makes AND NOT there) AS not_found FROM o GROUP BY archive_id HAVING bool_or(makes)""")
+def create_remove(spark, sf_dir):
+    """Creations and removals of one name: each that changes nothing is refused."""
+    e = _events(spark, sf_dir).where("log IS NOT NULL AND event_type IN ('signup', 'error')").withColumn("archive_id", F.col("log").cast("string"))
+    ops = _ops(e, sequence=F.col("sequence"), op=F.when(F.col("event_type") == "signup", "CREATE").otherwise("REMOVE"), entry=F.lit("new"))
+    _, base = session_log(spark, sf_dir)
+    rows = session.replay(ops, base)
+    refused = lambda kind: F.count_if((F.col("what") == "refused") & (F.col("kind") == kind))
+    out = rows.groupBy("archive_id").agg(F.max(F.when(F.col("what") == "overlay", F.col("kind"))).alias("kind"), refused("Exists").alias("exists_"), refused("NotFound").alias("not_found"))
+    return out.where("kind IS NOT NULL")
 
 
 @_query("""WITH e AS (SELECT source, CAST(doc_id AS VARCHAR) AS name, doc_id, octet_length(encode(text)) AS n FROM documents),
@@ -345,13 +404,13 @@ b AS (SELECT *, CASE WHEN ch THEN 30 + length(name) + n ELSE 0 END AS app FROM e
 @_query(f"""WITH {_EFF} SELECT source, name, ch AS changed, CAST(app AS BIGINT) AS appended,
 CAST(CASE WHEN ch THEN 1000000 + coalesce(sum(app) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE old_offset END AS BIGINT) AS local_header_offset FROM b""")
 def commit_layout(spark, sf_dir):
-    out = layout.commit_layout(_effective(spark, sf_dir), ["source"], "doc_id", incremental=True)
+    out = layout.commit_layout(_effective(spark, sf_dir), ["source"], "doc_id", incremental=True, stride=STRIDE)
     return out.select("source", "name", "changed", "appended", "local_header_offset")
 
 
 @_query(f"""WITH {_EFF} SELECT source, CAST(sum(app) AS BIGINT) AS body_bytes, CAST(sum(46 + length(name)) + 22 AS BIGINT) AS directory_bytes, count(*) FILTER (ch) AS changed FROM b GROUP BY source""")
 def commit_size(spark, sf_dir):
-    return layout.commit_size(layout.commit_layout(_effective(spark, sf_dir), ["source"], "doc_id", incremental=True), ["source"])
+    return layout.commit_size(layout.commit_layout(_effective(spark, sf_dir), ["source"], "doc_id", incremental=True, stride=STRIDE), ["source"])
 
 
 def _effective(spark, sf_dir) -> DataFrame:

@@ -1,9 +1,10 @@
 """Archives, seek indexes, journals and intents as DataFrames.
 
 Whole files come through Spark's ``binaryFile`` reader, so any store Spark
-reads will do, with one task a file. Archives on a path every executor can
-open are better read by the ``zipentries`` data source, which seeks: it reads
-the directory and, only if the column is asked for, single payloads.
+reads will do, with one task a file and at most 2 GB a file. Archives of any
+size are read by the ``zipentries`` data source, which seeks: it reads the
+directory, then the headers and payloads of the entries that filters on the
+name leave, in local folders and in the stores that Arrow's file systems open.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
 from quireflow import schemas
 from quireflow.functions.codecs import BadFormat, Index, Intent, walk_journal
@@ -44,24 +45,30 @@ def _rows(df: DataFrame, parse, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def entry_rows(path: str, data: bytes, with_payload: bool = True) -> list[dict]:
+def entry_rows(path: str, data, with_payload: bool = True, wanted=lambda name: True) -> list[dict]:
     """An archive's entries; one row with ``error`` if it can't be read, and an entry's own error beside it."""
+    return list(each_entry(path, data, with_payload, wanted))
+
+
+def each_entry(path: str, data, with_payload: bool = True, wanted=lambda name: True):
+    """entry_rows() one at a time: of entries that aren't ``wanted`` by name nothing but the directory is read."""
     try:
         directory = Z.read_directory(data)
     except Z.ZipError as e:
-        return [{"archive_id": path, "error": e.status}]
-    out = []
+        yield {"archive_id": path, "error": e.status}
+        return
     for e in directory.entries:
+        if not wanted(e.name):
+            continue
         row = {k: getattr(e, k) for k in ("cd_ordinal", "name_bytes", "method_code", "flags", "crc32", "compressed_size", "uncompressed_size", "local_header_offset", "cd_record")}
         row |= {"archive_id": path, "name": e.name, "provider": METHOD_PROVIDER.get(e.method_code, "Unsupported")}
         try:
             row["data_offset"] = Z.data_offset(data, e)
             if with_payload:
-                row["payload"] = Z.payload(data, e)
+                row["payload"] = bytes(Z.payload(data, e))
         except Z.ZipError as error:
             row["error"] = error.status
-        out.append(row)
-    return out
+        yield row
 
 
 def read_entries(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -143,6 +150,30 @@ def read_intents(spark: SparkSession, path: str) -> DataFrame:
     return _rows(_files(spark, path), parse, "archive_id string, mode string, pre_size bigint, pre_cd_hash binary, post_size bigint, post_cd_hash binary")
 
 
+class Ranged:
+    """A file that is sliced like bytes; each slice is one read."""
+
+    def __init__(self, file, size: int) -> None:
+        self.file, self.size = file, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        lo, hi, _ = part.indices(self.size)
+        if hi <= lo:
+            return b""
+        self.file.seek(lo)
+        return self.file.read(hi - lo)
+
+
+def _store(path: str):
+    """(file system, path in it) of a local path or an address; s3a is what Hadoop calls s3."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 class _Archive(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -152,29 +183,35 @@ class _ZipReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in options.get("path", "").split(",") if p]
         self.payload = options.get("payload", "true").lower() == "true"
-        self.name: str | None = None
+        self.names: set[str] | None = None
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("name",):
-                self.name = f.value
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("name",):
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.names = own if self.names is None else self.names & own
             else:
                 yield f
 
     def partitions(self):
+        from pyarrow import fs
+
         out = []
         for p in self.paths:
-            out += [_Archive(os.path.join(p, f)) for f in sorted(os.listdir(p)) if f.lower().endswith(".zip")] if os.path.isdir(p) else [_Archive(p)]
+            store, inner = _store(p)
+            if store.get_file_info(inner).type == fs.FileType.Directory:
+                found = store.get_file_info(fs.FileSelector(inner))
+                out += [_Archive(f"{p.rstrip('/')}/{f.base_name}") for f in sorted(found, key=lambda f: f.path) if f.is_file and f.base_name.lower().endswith(".zip")]
+            else:
+                out.append(_Archive(p))
         return out
 
     def read(self, partition):
-        import mmap
-
-        with open(partition.path, "rb") as f:
-            size = os.fstat(f.fileno()).st_size
-            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if size else b""
-            for row in entry_rows(partition.path, data, with_payload=self.payload):
-                if self.name is None or row.get("name") == self.name:
+        names = self.names
+        store, inner = _store(partition.path)
+        with store.open_input_file(inner) as f:
+            for row in each_entry(partition.path, Ranged(f, f.size()), self.payload, lambda name: names is None or name in names):
+                if names is None or row.get("name") in names:
                     yield tuple(row.get(c.split()[0]) for c in schemas.ENTRIES.split(", "))
 
 
@@ -261,6 +298,50 @@ def archive_image(entries: list[tuple[str, int, bytes]]) -> bytes:
     return out.finish()
 
 
+def archive_images(entries: DataFrame) -> DataFrame:
+    """(archive_id, image) of entries (archive_id, cd_ordinal, name, method_code, content): one row an archive, as large as the archive."""
+    rows = entries.select("archive_id", "cd_ordinal", "name", "method_code", F.col("content").cast("binary").alias("content"))
+    return folded(rows, "archive_id", ["cd_ordinal", "name"], "archive_id string, image binary", lambda key, own: [(key, archive_image([(n, m, c or b"") for _, n, m, c in own]))])
+
+
+def folded(rows: DataFrame, key: str, order: list[str], schema: str, make) -> DataFrame:
+    """What ``make(key, rows of that key in order)`` returns, key after key in sorted partitions; ``key`` is the first column."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(schema)
+
+    def run(batches):
+        arrow = to_arrow_schema(fields)
+        held, last, began = [], None, False
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+
+        out: list[tuple] = []
+        for batch in batches:
+            for k, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if began and k != last:
+                    out += make(last, held)
+                    held = []
+                    if out:
+                        yield done()
+                        out = []
+                last, began = k, True
+                held.append(tuple(rest))
+        if began:
+            out += make(last, held)
+        if out:
+            yield done()
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def parsed(images: DataFrame, parse, schema: str) -> DataFrame:
+    """Rows that ``parse(id, bytes)`` gives for each row (id, bytes); entry_rows(), index_rows(), journal_rows() and their kin will do."""
+    return _rows(images, parse, schema)
+
+
 def write_archives(entries: DataFrame, path: str) -> None:
     """Writes (archive_id, name, content; optional method_code and cd_ordinal) as one ZIP file an archive_id below ``path``."""
     register(entries.sparkSession)

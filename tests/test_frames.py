@@ -265,7 +265,7 @@ def test_queries_without_sql(spark):
     web = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in registry.QUERIES["entry_hashes"](spark, SF).collect():
         raw = web[r.page_id].html.encode()
-        assert (r.name_hash, r.cd_hash.lower(), r.crc32c) == (f"{hashing.name_hash_of(web[r.page_id].url):016x}", hashing.cd_hash_of(raw).hex(), hashing.crc32c_of(raw))
+        assert (r.name_hash, r.cd_hash.lower()) == (f"{hashing.name_hash_of(web[r.page_id].url):016x}", hashing.cd_hash_of(raw).hex())
     ev = [r for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("event_id").collect() if r.event_type == "view"]
     got = {r.log: (r.hits, r.misses) for r in registry.QUERIES["lru_cache_sim"](spark, SF).collect()}
     caches = {}
@@ -275,3 +275,108 @@ def test_queries_without_sql(spark):
         if c.get(k) is None:
             c.insert(k, b"", 4096)
     assert got == {u: (c.hits, c.misses) for u, c in caches.items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_session_replay_against_one_session_at_a_time(spark):
+    import hashlib
+
+    from quireflow.plans import queries
+
+    ops, base = queries.session_log(spark, SF)
+    content = {r.archive_id: r.content for r in base.collect()}
+    logs = {}
+    for r in ops.collect():
+        logs.setdefault(r.archive_id, []).append(r)
+    assert {r.op for log in logs.values() for r in log} == {"WRITE", "CREATE", "REMOVE", "RESIZE", "RENAME"}
+    want = set()
+    for a, log in logs.items():
+        data = content.get(a)
+        s = session.Session({"e": (len(data or b""), data is not None)} if a in content else {}, 64, 16 * 64, lambda n, at, k, data=data: data[at : at + k])
+        for r in sorted(log, key=lambda r: r.sequence):
+            try:
+                s.apply(r.op, r.entry, r.offset, bytes(r.data), r.new_size, r.new_name)
+            except session.EntryError as e:
+                want.add((a, "refused", r.entry, e.status, r.sequence))
+        want |= {(a, "overlay", n, k, src) for n, (k, src) in s.overlay.items()}
+        for n, d in s.dirty.items():
+            want.add((a, "entry", n, d.logical, d.source_size))
+            want |= {(a, "page", n, p, 1, hashlib.md5(bytes(v[1])).hexdigest()) for p, v in d.pages.items()}
+            want |= {(a, "page", n, p, 2, hashlib.md5(place[:counts]).hexdigest()) for p, (place, counts) in d.spilled.items()}
+    shape = {"refused": ("kind", "sequence"), "overlay": ("kind", "source"), "entry": ("logical_size", "source_size"), "page": ("page_index", "tier", "digest")}
+    got = [(r.archive_id, r.what, r.name, *(r[c] for c in shape[r.what])) for r in registry.QUERIES["session_replay"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["zip_round_trip", "archive_directories", "index_records", "checkpoint_reads", "journal_walk", "entry_crc32c", "rename_chain_fold", "truncate_sizes", "create_remove", "overlay_resolve", "read_ahead_sim", "lru_cache_sim"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("events", "documents", "pages", "labels", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    x = c.execute(registry.ORACLES[name])
+    at = {d[0]: i for i, d in enumerate(x.description)}
+    assert sorted(at) == cols
+    assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == sorted((tuple(r[at[c]] for c in cols) for r in x.fetchall()), key=repr)
+
+
+def test_replay_of_many_archives_and_odd_rows(spark):
+    schema = "archive_id string, sequence long, op string, entry string, offset long, data binary, new_size long, new_name string"
+    ops = spark.createDataFrame(
+        [(f"z{i}", i, "WRITE", "a", 6, b"XY", None, None) for i in range(30)] + [(None, 1, "CREATE", "n", None, None, None, None), ("z1", 99, "WRITE", None, 0, b"q", None, None), ("z2", 99, "NOPE", "a", None, None, None, None), ("z3", 99, "WRITE", "a", 0, None, None, None)], schema
+    )
+    base = spark.createDataFrame([(f"z{i}", "a", b"0123456789" if i % 2 else None) for i in range(40)] + [(None, "x", b"1")], "archive_id string, name string, content binary")
+    rows = session.replay(ops, base, page_size=4).collect()
+    pages_ = {(r.archive_id, r.page_index): bytes(r.data) for r in rows if r.what == "page"}
+    assert pages_ == {(f"z{i}", 1): b"45XY" for i in range(1, 30, 2)} and all(r.archive_id != "z35" for r in rows)
+    assert {(r.archive_id, r.kind) for r in rows if r.what == "refused"} == {(f"z{i}", "Unsupported") for i in range(0, 30, 2)} | {("z1", "NotFound"), ("z2", "UnknownOp")}
+    assert [r.name for r in rows if r.archive_id is None and r.what == "overlay"] == ["n"]
+    assert session.replay(ops.limit(0), base).count() == 0
+
+
+def test_layouts_in_stretches_are_the_same(spark):
+    from quireflow.operators import layout
+
+    rows = [(None if i % 7 == 0 else f"s{i % 3}", i * 37 % 1000, str(i), "Kept" if i % 2 else "Created", i % 90, 5, 1000, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "s string, i long, name string, origin string, compressed_size long, modified int, file_size long, old_offset long").withColumn("modified", F.col("modified") == 5)
+    for incremental in (False, True):
+        whole, cut = (sorted(layout.commit_layout(df, ["s"], "i", incremental, stride=x).collect(), key=repr) for x in (None, 64))
+        assert whole == cut and len(whole) == 400
+
+
+def test_zip_source_reads_only_what_is_asked_for(spark, tmp_path, monkeypatch):
+    content = {f"n{i}": bytes([65 + i]) * (1000 * i) for i in range(6)}
+    (tmp_path / "a.zip").write_bytes(archives.archive_image([(n, 0, c) for n, c in content.items()]))
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    taken = []
+
+    class Spy(archives.Ranged):
+        def __getitem__(self, part):
+            out = super().__getitem__(part)
+            taken.append(len(out))
+            return out
+
+    reader = archives._ZipReader({"path": str(tmp_path)})
+    assert list(reader.pushFilters([archives.In(("name",), ("n1", "n2", "zz")), archives.EqualTo(("name",), "n2"), archives.EqualTo(("provider",), "Store")])) == [archives.EqualTo(("provider",), "Store")]
+    monkeypatch.setattr(archives, "Ranged", Spy)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[2] for r in rows] == ["n2"] and rows[0][13] == content["n2"] and sum(t >= 1000 for t in taken if t != len((tmp_path / "a.zip").read_bytes())) == 1
+    archives.register(spark)
+    got = spark.read.format("zipentries").load(f"file://{tmp_path}").where("name IN ('n3', 'n5')").collect()
+    assert {(r.name, len(r.payload)) for r in got} == {("n3", 3000), ("n5", 5000)}
+    assert {r.error for r in spark.read.format("zipentries").load(str(tmp_path)).collect()} == {None, "EocdNotFound"}
+
+
+def test_codecs_that_are_registered_reach_the_executors(spark):
+    from quireflow.functions import deflate
+
+    try:
+        deflate.register_codec(77, lambda data, offset, length, size, points=(): bytes(data)[::-1][offset : offset + length])
+        df = spark.createDataFrame([(77, b"abc", 3), (78, b"abc", 3)], "method_code int, payload binary, uncompressed_size long")
+        assert [None if r.content is None else bytes(r.content) for r in archives.with_content(df).orderBy("method_code").collect()] == [b"cba", None]
+    finally:
+        del deflate.CODECS[77]
