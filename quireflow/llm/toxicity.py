@@ -2,10 +2,13 @@
 
 Two models spell words, one as toxic and one as ordinary documents do: byte
 n-grams within a word, up to ``ORDER``, each order interpolated with the next
-lower by absolute discounting. Inflected and compounded expressions thus share
-what their stems teach. Both models end in one distribution, counted over the
-different words of the whole corpus (the continuation counts of Kneser-Ney):
-what is rare in both classes costs both the same and does not move the score.
+lower by absolute discounting. N-grams of the highest order, and those at the
+start of a word, count by the documents of the class that hold them; below
+that an n-gram counts by the different bytes it follows in the class
+(continuation counts). Inflected and compounded expressions thus share what
+their stems teach. Both models end in one distribution, counted over the
+different words of the whole corpus: what is rare in both classes costs both
+the same and does not move the score.
 
 A document is scored by the difference of the two log-likelihoods per word,
 over the whole text and over its most toxic window of a few words; a logistic
@@ -186,34 +189,72 @@ def _slot(key: np.ndarray, slots: int) -> np.ndarray:
         return ((key * _U(0x9E3779B97F4A7C15)) >> _U(64 - (slots.bit_length() - 1))).astype(np.int64)
 
 
+def _adjusted(counted: DataFrame) -> DataFrame:
+    """(key, n0, n1, types) of all n-grams -> key, n0, n1 (as each order counts them), d0, d1 (sums of those that go on from it), types."""
+    level, body = F.shiftrightunsigned("key", 56).cast("int"), F.col("key").bitwiseAND((1 << 56) - 1)
+    # an n-gram without its first byte, and without its last
+    mask = F.create_map(*[x for k in range(1, ORDER + 1) for x in (F.lit(k), F.lit((1 << 8 * (k - 1)) - 1).cast("long"))])
+    one_less = F.shiftleft((level - 1).cast("long"), 56)
+    after = counted.where(level > 1).select(body.bitwiseAND(mask[level]).bitwiseOR(one_less).alias("key"), *[(F.col(f"n{c}") > 0).cast("long").alias(f"a{c}") for c in (0, 1)])
+    after = after.groupBy("key").agg(F.sum("a0").alias("a0"), F.sum("a1").alias("a1"))
+    raw = (level == ORDER) | (F.call_function("shiftrightunsigned", body, 8 * (level - 1)) == _START)
+    own = counted.join(after, "key", "left").select("key", "types", *[F.when(raw, F.col(f"n{c}")).otherwise(F.coalesce(f"a{c}", F.lit(0))).alias(f"n{c}") for c in (0, 1)])
+    before = own.where(level > 1).groupBy(F.shiftrightunsigned(body, 8).bitwiseOR(one_less).alias("key")).agg(F.sum("n0").alias("d0"), F.sum("n1").alias("d1"))
+    full = own.join(before, "key", "left").na.fill(0, ["d0", "d1"])
+    # what counts once is left to the lower orders whole; it is only needed in the sums
+    return full.where("n0 > 1 OR n1 > 1 OR d0 > 1 OR d1 > 1 OR types > 0")
+
+
 def _build(counted: pa.Table) -> Models:
+    """The models of a table as _adjusted() gives it."""
     key = counted.column("key").to_numpy().view(_U)
     order = np.argsort(key)
     key = key[order]
-    n = np.stack([counted.column(c).to_numpy()[order] for c in ("n0", "n1")], axis=1).astype(float)
+    n, sums = (np.stack([counted.column(f"{x}{c}").to_numpy()[order] for c in (0, 1)], axis=1).astype(float) for x in "nd")
     types = counted.column("types").to_numpy()[order].astype(float)
     level = (key >> _U(56)).astype(int)
     body = key & _U((1 << 56) - 1)
 
-    def find(what: np.ndarray) -> np.ndarray:
-        return np.minimum(np.searchsorted(key, what), max(len(key) - 1, 0))
+    def find(what: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where n-grams of order ``k`` are, and whether they are there."""
+        what = what | _U(k << 56)
+        at = np.minimum(np.searchsorted(key, what), max(len(key) - 1, 0))
+        return at, key[at] == what
 
     p, left = np.ones((len(key), 2)), np.ones((len(key), 2))
+
+    def lower(what: np.ndarray, k: int) -> np.ndarray:
+        """Both classes' probability of the last byte after k - 1 others, backed off as far as it takes."""
+        out, weight, todo = np.ones((len(what), 2)), np.ones((len(what), 2)), np.ones(len(what), bool)
+        for j in range(k, 0, -1):
+            if j == 1:
+                break
+            what = what & _U((1 << 8 * j) - 1)
+            at, there = find(what, j)
+            out = np.where((todo & there)[:, None], weight * p[at], out)
+            todo &= ~there
+            if not todo.any():
+                return out
+            context, known = find(what >> _U(8), j - 1)
+            weight = np.where(known[:, None], weight * left[context], weight)
+        return np.where(todo[:, None], weight * 0.5 / 128, out)
+
     for k in range(2, ORDER + 1):
         own = np.flatnonzero(level == k)
         if not len(own):
-            break
-        context = find((body[own] >> _U(8)) | (_U(k - 1) << _U(56)))  # always counted: it stands in the same words
-        mass = np.maximum(n[own] - np.where(n[own] > 1, MORE, ONCE), 0) / np.maximum(n[context], 1)
-        used = np.stack([np.bincount(context, mass[:, c], minlength=len(key)) for c in (0, 1)], axis=1)
-        met = np.unique(context)
+            continue
+        context, known = find(body[own] >> _U(8), k - 1)
+        total = np.where(known[:, None], sums[context], 0)
+        mass = np.maximum(n[own] - np.where(n[own] > 1, MORE, ONCE), 0) / np.maximum(total, 1)
+        used = np.stack([np.bincount(context[known], mass[known, c], minlength=len(key)) for c in (0, 1)], axis=1)
+        met = np.unique(context[known])
         # a class that never met the context, and any rounding, leaves all to the lower order
         left[met] = np.clip(1 - used[met], 1e-4, 1)
         if k == 2:
-            lower = ((types[own] + 0.5) / (types[context] + 128))[:, None]
+            rest = ((types[own] + 0.5) / (np.where(known, types[context], 0) + 128))[:, None]
         else:
-            lower = p[find((body[own] & _U((1 << 8 * (k - 1)) - 1)) | (_U(k - 1) << _U(56)))]
-        p[own] = mass + left[context] * lower
+            rest = lower(body[own], k - 1)
+        p[own] = mass + np.where(known[:, None], left[context], 1) * rest
     slots = 1 << max(10, int(2 * len(key)).bit_length())
     table, place = np.zeros(slots + 1, _U), np.zeros(len(key), np.int64)
     todo, at = np.arange(len(key)), _slot(key, slots)
@@ -273,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     words = taught.select(F.when(~F.col("apart"), F.col("toxic")).alias("toxic"), "text").mapInArrow(_vocabulary, "word binary, n0 long, n1 long")
     words = words.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counted = words.mapInArrow(_count, "key long, n0 long, n1 long, types long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("types").alias("types"))
-    counted = counted.where("n0 > 1 OR n1 > 1 OR types > 0").toArrow()  # bounded by the sample, and pairs of bytes
+    counted = _adjusted(scratch.keep(counted)).toArrow()  # bounded by the sample, and pairs of bytes
     models = _build(counted)
     shared = spark.sparkContext.broadcast(models)
 
