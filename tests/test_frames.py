@@ -338,6 +338,23 @@ def test_replay_of_many_archives_and_odd_rows(spark):
     assert session.replay(ops.limit(0), base).count() == 0
 
 
+@pytest.mark.parametrize("settings", [{"coalescePartitions.minPartitionSize": "1k"}, {"coalescePartitions.minPartitionSize": "1k", "advisoryPartitionSizeInBytes": "4k", "autoBroadcastJoinThreshold": "-1"}])
+def test_replay_of_inputs_dealt_by_archive(spark, tmp_path, settings):
+    # operations and entries that are dealt by archive already, in partitions that Spark merges differently
+    turns = F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") % 9))
+    spark.range(400).select(F.col("id").alias("conv_id"), turns.alias("turn")).write.parquet(f"{tmp_path}/conversations.parquet")
+    held = {"spark.sql.shuffle.partitions": "40"} | {f"spark.sql.adaptive.{k}": v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(r) for r in registry.QUERIES["rename_chain_fold"](spark, str(tmp_path)).select("archive_id", "name", "kind", F.coalesce("source", F.lit("-"))).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == sorted((str(i), str(t), *(("Aliased", "0") if t == i % 9 else ("Tombstone", "-"))) for i in range(400) if i % 9 for t in range(i % 9 + 1))
+
+
 def test_layouts_in_stretches_are_the_same(spark):
     from quireflow.operators import layout
 
